@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, packing, quality, spans, toxicity
+from lattica.llm import bpe, licence, packing, pii, quality, spans, toxicity
 from lattica.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -33,6 +34,17 @@ def op6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_sentences").alias("n_sentences"), F.col("_removed").alias("n_removed"), F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.train(spark))
+    of_kind = lambda k, x: x["kind"] == k
+    counts = [F.size(F.filter("_base", partial(of_kind, k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("_base"), 256).alias("base_sha256"), pii.listed("_spans").alias("spans"))
+
+
+def op9_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -40,5 +52,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op5_quality": op5_quality, "op6_spans": op6_spans, "op10_toxicity": op10_toxicity}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op5_quality": op5_quality, "op6_spans": op6_spans, "op7_pii": op7_pii, "op9_licence": op9_licence, "op10_toxicity": op10_toxicity}
+SQL: dict[str, str] = {"op9_licence": licence.sql()}
