@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, licence, packing, pii, quality, spans, toxicity
+from lattica.llm import bpe, jaccard, licence, packing, pii, quality, spans, toxicity
 from lattica.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -41,6 +41,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed("_base"), 256).alias("base_sha256"), pii.listed("_spans").alias("spans"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op9_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence.scan(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op5_quality": op5_quality, "op6_spans": op6_spans, "op7_pii": op7_pii, "op9_licence": op9_licence, "op10_toxicity": op10_toxicity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op5_quality": op5_quality, "op6_spans": op6_spans, "op7_pii": op7_pii, "op8_jaccard": op8_jaccard, "op9_licence": op9_licence, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {"op9_licence": licence.sql()}
