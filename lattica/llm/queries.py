@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, jaccard, licence, packing, pii, quality, spans, toxicity
+from lattica.llm import bpe, jaccard, licence, packing, pii, quality, spans, topk, toxicity
 from lattica.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,6 +21,25 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
+OP2_SQL = """
+WITH v AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -56,5 +75,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op5_quality": op5_quality, "op6_spans": op6_spans, "op7_pii": op7_pii, "op8_jaccard": op8_jaccard, "op9_licence": op9_licence, "op10_toxicity": op10_toxicity}
-SQL: dict[str, str] = {"op9_licence": licence.sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op3_packing": op3_packing, "op5_quality": op5_quality, "op6_spans": op6_spans, "op7_pii": op7_pii, "op8_jaccard": op8_jaccard, "op9_licence": op9_licence, "op10_toxicity": op10_toxicity}
+SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op9_licence": licence.sql()}
