@@ -85,7 +85,7 @@ def ordered(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("string").alias("id"), whole(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(whole(text_col)).alias("h"), whole(text_col).alias("text"))
 
 
 def _sketch(rows: DataFrame, words: int) -> np.ndarray:
@@ -165,7 +165,7 @@ def _opened(asked: DataFrame, blocks: DataFrame, tokens: DataFrame, percent: int
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(id, h, n_shingles, component_id, class_id): a row per row of docs; h is the text's hash, class_id the smallest id with an equal set."""
+    """(id, h, n_shingles, component_id, class_id, component): a row per row of docs; h is Spark's xxhash64 of the text, class_id the smallest id with an equal set, component a key of the component, null for empty sets."""
     scratch, kind = Scratch(docs.sparkSession, "jaccard"), docs.schema[id_col].dataType
     rows = _rows(docs, id_col, text_col)
     sketch = _sketch(rows, words)
@@ -174,17 +174,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         shingles = Shingles(words)
         for b in batches:
             out = []
-            for key, text in zip(b["id"], b["text"], strict=True):
+            for key, h, text in zip(b["id"], b["h"], b["text"], strict=True):
                 t = shingles(text)
                 if not len(t):
-                    out.append((key, xxhash.xxh3_128_digest(text), 0, None, [], b""))
+                    out.append((key, h, 0, None, [], b""))
                     continue
                 minima = [int((_mixed(t + np.uint64(_MIX[j + 2]))).min().astype(np.int64)) for j in range(MINIMA)]
                 prefix = ordered(t, sketch)[: len(t) - least(len(t), percent) + 1]
-                out.append((key, xxhash.xxh3_128_digest(text), len(t), xxhash.xxh3_128_digest(t.tobytes()), minima, prefix.astype("<u8").tobytes()))
+                out.append((key, h, len(t), xxhash.xxh3_128_digest(t.tobytes()), minima, prefix.astype("<u8").tobytes()))
             yield pd.DataFrame(out, columns=["id", "h", "n", "node", "minima", "prefix"])
 
-    sets = scratch.write(rows.mapInPandas(described, "id string, h binary, n int, node binary, minima array<long>, prefix binary"), "sets")
+    sets = scratch.write(rows.mapInPandas(described, "id string, h long, n int, node binary, minima array<long>, prefix binary"), "sets")
     of_class = sets.where("n > 0").groupBy("node").agg(F.min(F.col("id").cast(kind)).alias("first"), F.first("n").alias("n"))
     of_class = scratch.write(of_class, "classes")
 
@@ -251,7 +251,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     named = components(links, scratch, "components")
     whole_of = of_class.join(named.hint("shuffle_merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first")
     names = whole_of.groupBy("component").agg(F.min("first").alias("component_id"))
-    per_class = whole_of.join(names.hint("shuffle_merge"), "component").select(F.col("node").alias("its_node"), "component_id", F.col("first").alias("class_id"))
+    per_class = whole_of.join(names.hint("shuffle_merge"), "component").select(F.col("node").alias("its_node"), "component_id", F.col("first").alias("class_id"), "component")
     out = sets.select("id", "h", "n", "node").join(per_class.hint("shuffle_merge"), F.col("node") == F.col("its_node"), "left")
     own = F.col("id").cast(kind)
-    return out.select(own.alias(id_col), "h", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, own).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("n") == 0, own).otherwise(F.col("class_id")).alias("class_id"))
+    return out.select(own.alias(id_col), "h", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, own).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("n") == 0, own).otherwise(F.col("class_id")).alias("class_id"), "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each component, the one with the smallest id (then hash of its text); rows equal in id and text are one document."""
+    scratch = Scratch(docs.sparkSession, "jaccard-kept")
+    named = classes(docs, id_col, text_col, words, percent)
+    known = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "h")
+    kept = named.where("component is not null").groupBy("component").agg(F.min(known).alias("k")).select("k.id", "k.h")
+    kept = scratch.write(kept.unionByName(named.where("component is null").select(F.col(id_col).alias("id"), "h")).distinct(), "kept")
+    small = kept.count() * 32 <= BROADCAST_BYTES
+    keyed = docs.withColumn("_hash", F.xxhash64(whole(text_col)))
+    kept = kept.select(F.col("id").alias("_kept_id"), F.col("h").alias("_kept_h"))
+    return keyed.join(F.broadcast(kept) if small else kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_h")), "left_semi").drop("_hash")

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, jaccard, licence, packing, pii, quality, spans, topk, toxicity
+from lattica.llm import bpe, jaccard, licence, packing, pii, quality, spans, suffix, topk, toxicity
 from lattica.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -44,6 +44,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -75,5 +80,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op3_packing": op3_packing, "op5_quality": op5_quality, "op6_spans": op6_spans, "op7_pii": op7_pii, "op8_jaccard": op8_jaccard, "op9_licence": op9_licence, "op10_toxicity": op10_toxicity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op3_packing": op3_packing, "op4_suffix": op4_suffix, "op5_quality": op5_quality, "op6_spans": op6_spans, "op7_pii": op7_pii, "op8_jaccard": op8_jaccard, "op9_licence": op9_licence, "op10_toxicity": op10_toxicity}
 SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op9_licence": licence.sql()}
