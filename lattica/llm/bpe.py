@@ -17,7 +17,7 @@ from __future__ import annotations
 import itertools
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Texts up to so many characters are encoded whole.
 LEAF_CHARS = 1 << 15
 #: Pre-tokens up to so many characters are kept with their ids, at most so many of them a worker.
-KEPT_CHARS, KEPT_PIECES = 64, 400_000
+KEPT_CHARS, KEPT_PIECES = 64, 200_000
+#: Rows of a result handed over at a time.
+SLICE = 512
 #: Characters of the texts that are split together.
 BATCH_CHARS = 1 << 20
 #: Classes of characters, and the mark between texts.
@@ -64,6 +66,18 @@ def _powers(n: int, base: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
+def token_bytes(spec: dict) -> list[bytes]:
+    """The bytes of each id of a tokenizer file."""
+    of_char = {c: b for b, c in enumerate(byte_alphabet())}
+    vocab, added = spec["model"]["vocab"], spec["added_tokens"]
+    out = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in added)]))
+    for token, k in vocab.items():
+        out[k] = bytes(of_char[c] for c in token) if all(c in of_char for c in token) else token.encode()
+    for t in added:
+        out[t["id"]] = t["content"].encode()
+    return out
+
+
 class ByteBpe:
     """One tokenizer file in one process."""
 
@@ -79,15 +93,9 @@ class ByteBpe:
         self.special = {t["content"]: np.uint32(t["id"]).tobytes() for t in added}
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if added else None
         self.pattern = regex.compile(PATTERN)
-        alphabet = byte_alphabet()
-        self.to_chars = {b: c for b, c in enumerate(alphabet)}
-        of_char = {c: b for b, c in enumerate(alphabet)}
-        vocab = spec["model"]["vocab"]
-        self.bytes_of = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in added)]))
-        for token, k in vocab.items():
-            self.bytes_of[k] = bytes(of_char[c] for c in token) if all(c in of_char for c in token) else token.encode()
-        for t in added:
-            self.bytes_of[t["id"]] = t["content"].encode()
+        vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
+        self.to_chars = dict(enumerate(alphabet))
+        self.bytes_of = token_bytes(spec)
         self.model: models.BPE = Tokenizer.from_file(path).model
         self.own_split = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.same: set[str] = set(map(chr, range(128)))  # characters on whose class the pattern and the library agree
@@ -284,9 +292,9 @@ class ByteBpe:
             leaves = up
         return leaves[0][0] if leaves else np.empty(0, "<u4")
 
-    def decode(self, ids: bytes) -> str:
-        table = self.bytes_of
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+
+def decoded(ids: bytes, table: list[bytes]) -> str:
+    return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
 _LOADED: dict[tuple[str, int], ByteBpe] = {}
@@ -299,15 +307,24 @@ def loaded(path: str, leaf_chars: int = LEAF_CHARS) -> ByteBpe:
     return _LOADED[path, leaf_chars]
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """(id, ids): ids binary, little-endian unsigned 32-bit. One row per row of docs."""
+def _as_they_are(keys: list[str | None], ids: list[bytes]) -> pd.DataFrame:
+    return pd.DataFrame({"id": keys, "ids": ids})
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, then: Callable[[list[str | None], list[bytes]], pd.DataFrame] = _as_they_are, schema: str = "ids binary") -> DataFrame:
+    """(id, ids): ids binary, little-endian unsigned 32-bit. One row per row of docs.
+
+    ``then`` goes on in the worker that encoded: from ids of documents and their tokens to the
+    columns id and ``schema``, any number of rows for a document.
+    """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), whole(text_col).alias("text"))  # pandas would turn long ids into floats beside a null
-    kind = "string"
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(tokenizer, leaf_chars)
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "ids": bpe.encode_batch(b["text"].tolist())})
+            for at in range(0, len(b), SLICE):
+                part = b.iloc[at : at + SLICE]
+                yield then(part["id"].tolist(), bpe.encode_batch(part["text"].tolist()))
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(tokenizer, leaf_chars)
@@ -324,24 +341,36 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def grown(b: pd.DataFrame) -> pd.DataFrame:
         copies, one = int((b["part"] == 0).sum()), b.drop_duplicates("part").sort_values("part")
         ids = loaded(tokenizer, leaf_chars).grown([(np.frombuffer(x, "<u4"), c) for x, c in zip(one["ids"], one["continues"], strict=True)])
-        return pd.DataFrame({"id": [b["id"].iloc[0]] * copies, "ids": [ids.astype("<u4").tobytes()] * copies})
+        return then([b["id"].iloc[0]] * copies, [ids.astype("<u4").tobytes()] * copies)
 
     size = F.length("text")
-    few = rows.where(size <= leaf_chars).mapInPandas(short, f"id {kind}, ids binary")
+    few = rows.where(size <= leaf_chars).mapInPandas(short, f"id string, {schema}")
     # equal rows share a key; their leaves come as often as the rows do
-    cut = rows.where(size > leaf_chars).withColumn("h", F.sha2("text", 256)).mapInPandas(leaves, f"id {kind}, h string, part int, leaf string, raw boolean, continues boolean")
-    many = cut.repartition(partitions(docs.sparkSession), "id", "h", "part").mapInPandas(encoded, f"id {kind}, h string, part int, continues boolean, ids binary")
-    many = many.groupBy("id", "h").applyInPandas(grown, f"id {kind}, ids binary")
-    return few.unionByName(many).select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "ids")
+    cut = rows.where(size > leaf_chars).withColumn("h", F.sha2("text", 256)).mapInPandas(leaves, "id string, h string, part int, leaf string, raw boolean, continues boolean")
+    many = cut.repartition(partitions(docs.sparkSession), "id", "h", "part").mapInPandas(encoded, "id string, h string, part int, continues boolean, ids binary")
+    many = many.groupBy("id", "h").applyInPandas(grown, f"id string, {schema}")
+    return few.unionByName(many).select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *few.columns[1:])
+
+
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """(id, ids, decoded): encode() and decode() in one pass."""
+
+    def both(keys: list[str | None], ids: list[bytes]) -> pd.DataFrame:
+        return pd.DataFrame({"id": keys, "ids": ids, "decoded": [decoded(x, loaded(tokenizer, leaf_chars).bytes_of) for x in ids]})
+
+    return encode(docs, tokenizer, id_col, text_col, leaf_chars, both, "ids binary, decoded string")
 
 
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """encoded with a column decoded: the text of its ids, malformed bytes replaced as UTF-8 decoders do."""
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(tokenizer)
+        with open(tokenizer, encoding="utf-8") as f:
+            table = token_bytes(json.load(f))
         for b in batches:
-            yield b.assign(decoded=[bpe.decode(x) if x is not None else "" for x in b[ids_col]])
+            for at in range(0, len(b), SLICE):
+                part = b.iloc[at : at + SLICE]
+                yield part.assign(decoded=[decoded(x, table) if x is not None else "" for x in part[ids_col]])
 
     kept = encoded.select(F.col(id_col).cast("string").alias(id_col), ids_col)
     out = kept.mapInPandas(texts, f"`{id_col}` string, `{ids_col}` binary, decoded string")

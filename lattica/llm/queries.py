@@ -16,8 +16,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BYTE_BPE)
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    out = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

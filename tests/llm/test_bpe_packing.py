@@ -37,6 +37,7 @@ def test_encode_equals_library(spark, library):
         key = lambda x: (x[0] is None, x[0] or 0, x[1])
         got = sorted(((r["doc_id"], list(struct.unpack(f"<{len(r['ids']) // 4}I", r["ids"]))) for r in out), key=key)
         assert got == sorted(want, key=key)
+        assert sorted(r["decoded"] for r in bpe.round_trip(df, PATH, leaf_chars=leaf).collect()) == sorted(r["decoded"] for r in out)
         assert sorted(r["decoded"] for r in out) == sorted(library.decode(ids, skip_special_tokens=False) for _, ids in want)
 
 
