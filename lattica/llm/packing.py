@@ -74,25 +74,20 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of each document, its end token added."""
-    ids = bpe.encode(docs, tokenizer, id_col, text_col)
     end = np.uint32(end_id).astype("<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys, rows = [], []
-            for i, data in enumerate(b["ids"]):
-                data, start = data + end, 0
-                for k, n in enumerate(cut_lengths(len(data) // 4, capacity)):
-                    part = data[4 * start : 4 * (start + n)]
-                    keys.append(i)
-                    rows.append((k, start, n, zlib.crc32(part), part))
-                    start += n
-            out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32", "ids"])
-            out.insert(0, id_col, b[id_col].iloc[keys].reset_index(drop=True))
-            yield out if with_ids else out.drop(columns="ids")
-
-    out = ids.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(cut, f"`{id_col}` string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
-    return out.withColumn(id_col, F.col(id_col).cast(docs.schema[id_col].dataType))
+    def cut(keys: list[str | None], ids: list[bytes]) -> pd.DataFrame:
+        rows = []
+        for key, data in zip(keys, ids, strict=True):
+            data, start = data + end, 0
+            for k, n in enumerate(cut_lengths(len(data) // 4, capacity)):
+                part = data[4 * start : 4 * (start + n)]
+                rows.append((key, k, start, n, zlib.crc32(part), part))
+                start += n
+        out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "ids"])
+        return out if with_ids else out.drop(columns="ids")
+
+    return bpe.encode(docs, tokenizer, id_col, text_col, then=cut, schema="piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
