@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from lattica.llm.common import whole
 
 WORD = re.compile(r"[^\W\d_]+")
-BITS, BEGINNINGS = 21, (3, 4, 5, 6)
+BITS, BEGINNINGS = 20, (3, 4, 5, 6)
 #: Documents to fit on, features to keep, least number of confirmed examples with a feature.
-MAX_TOXIC, MAX_UNLABELLED, FEATURES, LEAST = 3000, 9000, 4096, 8
+MAX_TOXIC, MAX_UNLABELLED, FEATURES, LEAST = 2000, 6000, 1024, 8
 THRESHOLD = 0.7
 KEPT_WORDS = 300_000
 
@@ -74,17 +74,16 @@ class Model:
 
 def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * R+(P) + max(0, R-(U) - prior * R-(P)) with the logistic loss; rows are feature vectors."""
-    w = np.zeros(positive.shape[1] + 1)
-    p = np.hstack([positive, np.ones((len(positive), 1), positive.dtype)])
-    u = np.hstack([unlabelled, np.ones((len(unlabelled), 1), unlabelled.dtype)])
+    slope = lambda each, rows: np.append(each.astype(rows.dtype) @ rows, each.sum()) / max(len(rows), 1)
+    w = np.zeros(positive.shape[1] + 1, positive.dtype)
     m, v = np.zeros_like(w), np.zeros_like(w)
     w[-1] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
-        at_p, at_u = p @ w, u @ w
-        as_clean = np.logaddexp(0, at_u).mean() - prior * np.logaddexp(0, at_p).mean()
+        at_p, at_u = positive @ w[:-1] + w[-1], unlabelled @ w[:-1] + w[-1]
+        as_clean = np.logaddexp(0, at_u).sum() / max(len(at_u), 1) - prior * np.logaddexp(0, at_p).mean()
         sig_p, sig_u = 1 / (1 + np.exp(-at_p)), 1 / (1 + np.exp(-at_u))
-        clean = sig_u @ u / len(u) - prior * (sig_p @ p) / len(p)
-        grad = prior * ((sig_p - 1) @ p) / len(p) + clean if as_clean >= 0 else -clean
+        clean = slope(sig_u, unlabelled) - prior * slope(sig_p, positive)
+        grad = prior * slope(sig_p - 1, positive) + clean if as_clean >= 0 else -clean
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -100,6 +99,13 @@ def _dense(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
     return out
 
 
+def _count(rows: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(1 << BITS, np.int32)
+    for row in rows:
+        out[row] += 1
+    return out
+
+
 def held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
@@ -123,14 +129,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"confirmed": b["confirmed"], "found": [x.tobytes() for x in _hashed(b["text"])]})
 
     both = toxic.select(F.lit(True).alias("confirmed"), "text").unionByName(free.select(F.lit(False).alias("confirmed"), "text"))
-    got = both.mapInPandas(hashed, "confirmed boolean, found binary").toPandas()
-    sets = [np.frombuffer(x, "<i4") for x in got["found"]]
-    positive = [x for x, c in zip(sets, got["confirmed"], strict=True) if c]
-    unlabelled = [x for x, c in zip(sets, got["confirmed"], strict=True) if not c]
+    positive: list[np.ndarray] = []
+    unlabelled: list[np.ndarray] = []
+    for row in both.mapInPandas(hashed, "confirmed boolean, found binary").collect():
+        (positive if row["confirmed"] else unlabelled).append(np.frombuffer(row["found"], "<i4"))
     if not positive:
         return None
-    count = lambda rows: np.bincount(np.concatenate([np.empty(0, "<i4"), *rows]), minlength=1 << BITS)
-    n_p, n_u = count(positive), count(unlabelled)
+    n_p, n_u = _count(positive), _count(unlabelled)
     share_p, share_u = n_p / len(positive), (n_u + 1) / (len(unlabelled) + 2)
     lift = share_p - share_u
     worth = np.where((n_p >= min(LEAST, len(positive))) & (share_p > 1.3 * share_u), lift / np.sqrt(share_u), 0)
