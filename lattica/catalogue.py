@@ -6,6 +6,7 @@ same in both languages. Doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from lattica.functions import arrays as A
 from lattica.operators import staging as S
 from lattica.operators import statistics as T
+from lattica.plans import network as N
+from lattica.plans import recipe as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -678,3 +681,110 @@ def calibration_grid_loss(spark, sf_dir):
     loss = lambda b: F.avg(F.ln(A.total(F.transform("z", lambda v: F.exp(v * b)))) - b * F.element_at("z", F.col("cf") + 1))
     one = df.agg(*[loss(b).alias(f"l{i}") for i, b in enumerate(_BETAS)])  # one pass for the grid
     return one.select(F.explode(F.array(*[F.struct(F.lit(b).alias("beta"), r6(f"l{i}").alias("value")) for i, b in enumerate(_BETAS)])).alias("r")).select("r.*")
+
+
+# --- whole models ---------------------------------------------------------------------------
+UNIFORM = [0.25] * 4
+_LAYOUT = S.Layout(BOUNDS, ())
+
+
+def _rows_of_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "lineitem")
+    return df.withColumn("row_id", F.xxhash64(*KEYS, "l_extendedprice", "l_quantity"))
+
+
+def _fit(df: DataFrame, recipe: R.Recipe, target: str | list[str], **options) -> N.Network:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", N.ConvergenceWarning)  # a fixed number of iterations is asked for
+        return N.fit(df, recipe, target, row_id="row_id", **options)
+
+
+def _centres(spark: SparkSession, network: N.Network) -> DataFrame:
+    rows = [(k, d, float(v)) for k, row in enumerate(network.params.C) for d, v in enumerate(row)]
+    return spark.createDataFrame(rows, "k int, d int, value double").select("k", "d", r6("value").alias("value"))
+
+
+def _u(k: int) -> str:
+    return "(" + " + ".join(f"0.25::DOUBLE * (x{d} - {_d(C[k][d])}) * (x{d} - {_d(C[k][d])})" for d in range(D)) + ")"
+
+
+_STEP = f"WITH {LI}, di AS (SELECT *, " + ", ".join(f"{_u(k)} AS d{k}" for k in range(K)) + f" FROM li), ga AS (SELECT *, {_soft('d', _d(TEMP))} FROM di)"
+_THETAS = "th AS (SELECT " + ", ".join(f"sum(CASE WHEN cf = {m} THEN g{k} ELSE 0 END) / sum(g{k}) AS t{m}_{k}" for m in range(3) for k in range(K)) + " FROM ga)"
+_NEXT = "nx AS (SELECT ga.*, " + ", ".join(f"d{k} - {_d(DELTA)} * ln(greatest(CASE cf WHEN 0 THEN t0_{k} WHEN 1 THEN t1_{k} ELSE t2_{k} END, {TINY})) AS c{k}" for k in range(K)) + f" FROM ga, th), gn AS (SELECT * EXCLUDE (g0, g1, g2), {_soft('c', _d(TEMP))} FROM nx)"
+
+
+@query("fit_step_classification", f"{_STEP}, {_THETAS}, {_NEXT} " + _kd("sum({g} * {x}) / sum({g})", "gn"))
+def fit_step_classification(spark, sf_dir):
+    recipe = R.Recipe.chain(R.Input(K=K, epsilon=TEMP), R.ClassificationHead(), delta=DELTA)
+    return _centres(spark, _fit(_rows_of_lineitem(spark, sf_dir), recipe, "l_returnflag", layout=_LAYOUT, centres=C, max_iter=1))
+
+
+_CYS = "cy AS (SELECT " + ", ".join(f"sum(g{k} * x1) / sum(g{k}) AS y{k}" for k in range(K)) + " FROM ga)"
+_RNEXT = "nx AS (SELECT ga.*, " + ", ".join(f"d{k} + {_d(DELTA)} * (y{k} * y{k} - 2 * x1 * y{k}) AS c{k}" for k in range(K)) + f" FROM ga, cy), gn AS (SELECT * EXCLUDE (g0, g1, g2), {_soft('c', _d(TEMP))} FROM nx)"
+
+
+@query("fit_step_regression", f"{_STEP}, {_CYS}, {_RNEXT} " + _kd("sum({g} * {x}) / sum({g})", "gn"))
+def fit_step_regression(spark, sf_dir):
+    recipe = R.Recipe.chain(R.Input(K=K, epsilon=TEMP), R.RegressionHead(), delta=DELTA)
+    rows = _rows_of_lineitem(spark, sf_dir).withColumn("price", S.scaled("l_extendedprice", 900.0, 105000.0))
+    return _centres(spark, _fit(rows, recipe, "price", layout=_LAYOUT, centres=C, max_iter=1))
+
+
+def _classified(spark: SparkSession, sf_dir: str, recipe: R.Recipe, **options) -> tuple[DataFrame, N.Network]:
+    df = _rows_of_lineitem(spark, sf_dir)
+    return df, _fit(df, recipe, "l_returnflag", continuous=[c for c, _, _ in BOUNDS], categorical=["l_linestatus"], **options)
+
+
+@query("fit_classification")
+def fit_classification(spark, sf_dir):
+    recipe = R.Recipe.chain(R.Input(K=8, epsilon=0.01, epsilon_D=0.05), R.ClassificationHead(), delta=0.3)
+    df, made = _classified(spark, sf_dir, recipe, max_iter=3)
+    return made.predict(df).select(*KEYS, "label", F.array_max("prediction").alias("p"))
+
+
+@query("fit_regression")
+def fit_regression(spark, sf_dir):
+    df = _rows_of_lineitem(spark, sf_dir).withColumn("price", S.scaled("l_extendedprice", 900.0, 105000.0))
+    recipe = R.Recipe.chain(R.Input(K=8, epsilon=0.01), R.RegressionHead(), delta=2.0)
+    made = _fit(df, recipe, "price", continuous=["l_quantity", "l_discount", "l_tax"], max_iter=3)
+    return made.predict(df).select(*KEYS, F.col("prediction")[0].alias("price"))
+
+
+@query("fit_hidden")
+def fit_hidden(spark, sf_dir):
+    recipe = R.Recipe.chain(R.Input(K=8, epsilon=0.01), R.Hidden(K=4, epsilon=0.05), R.ClassificationHead(), delta=0.3)
+    df, made = _classified(spark, sf_dir, recipe, max_iter=2)
+    return made.predict(df).select(*KEYS, "label")
+
+
+@query("fit_manifold")
+def fit_manifold(spark, sf_dir):
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
+    recipe = R.Recipe.chain(R.ManifoldInput(K=10, subspace_dimension=2, epsilon=0.01), R.ClassificationHead(), delta=0.3)
+    made = _fit(v, recipe, "label", continuous=[f"e{i}" for i in range(16)], max_iter=3)
+    return made.predict(v.drop("label")).select("row_id", "label")
+
+
+@query("predict_iterative")
+def predict_iterative(spark, sf_dir):
+    recipe = R.Recipe.chain(R.Input(K=6, epsilon=0.02), R.ClassificationHead(), delta=0.2)
+    df, made = _classified(spark, sf_dir, recipe, max_iter=2)
+    return made.predict(df, config=N.PredictConfig(mode="iterative", max_iter=4)).select(*KEYS, "label")
+
+
+@query("score_samples")
+def score_samples(spark, sf_dir):
+    recipe = R.Recipe.chain(R.Input(K=6, epsilon=0.02, epsilon_T=0.5), R.ClassificationHead(), delta=0.2)
+    df, made = _classified(spark, sf_dir, recipe, max_iter=2)
+    return made.score_samples(df, df, "row_id")
+
+
+@query("select_init")
+def select_init(spark, sf_dir):
+    from lattica.plans.selection import select
+
+    df = read(spark, sf_dir, "part").withColumn("row_id", F.col("p_partkey"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", N.ConvergenceWarning)
+        made = select(df, R.Recipe.chain(R.Input(K=5, epsilon=0.02), R.ClassificationHead(), delta=0.2), "p_brand", row_id="row_id", inits=3, parallel=3, continuous=["p_size", "p_retailprice"], max_iter=2)
+    return made.predict(df).select("p_partkey", "label")
