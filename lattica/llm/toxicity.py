@@ -33,8 +33,8 @@ from lattica.llm.common import whole
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS, BEGINNINGS = 20, (3, 4, 5, 6)
-#: Documents to fit on, features to keep, least number of confirmed examples with a feature.
-MAX_TOXIC, MAX_UNLABELLED, FEATURES, LEAST = 2000, 6000, 1024, 8
+#: Documents to fit on, features to keep, least number of confirmed examples with a feature, deviations that are no chance.
+MAX_TOXIC, MAX_UNLABELLED, FEATURES, LEAST, SURE = 2000, 6000, 1024, 5, 3.5
 THRESHOLD = 0.7
 KEPT_WORDS = 300_000
 
@@ -137,8 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     n_p, n_u = _count(positive), _count(unlabelled)
     share_p, share_u = n_p / len(positive), (n_u + 1) / (len(unlabelled) + 2)
-    lift = share_p - share_u
-    worth = np.where((n_p >= min(LEAST, len(positive))) & (share_p > 1.3 * share_u), lift / np.sqrt(share_u), 0)
+    # how many deviations the confirmed share lies above the unlabelled one
+    worth = (share_p - share_u) / np.sqrt(share_u * (1 - share_u) * (1 / len(positive) + 1 / (len(unlabelled) + 1)))
+    worth = np.where((n_p >= min(LEAST, len(positive))) & (share_p > 1.5 * share_u) & (worth > SURE), worth, 0)
     chosen = np.sort(np.argsort(-worth, kind="stable")[: min(FEATURES, int((worth > 0).sum()))])
     if not len(chosen):
         return None
