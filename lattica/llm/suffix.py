@@ -28,6 +28,7 @@ are whole numbers.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 
 import numpy as np
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import Scratch, whole
 
 LENGTH, GRAM = 50, 24
-#: Bytes of a chunk; anchors of a range, about; bytes of the text of a shard, about (as a share of all text).
-CHUNK_BYTES, RANGE_ANCHORS, SHARD_BYTES = 3 << 20, 3 << 20, 4 << 20
+#: Bytes of a chunk, and of all text for each range, about: texts around repeated anchors may be somewhat more.
+CHUNK_BYTES, SHARD_BYTES = 1 << 20, 1 << 20
 NO_ID = -(1 << 63)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -60,12 +61,13 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order of their first depth bytes, rank of each): Larsson-Sadakane refinement from 8 bytes on."""
     n = len(data)
     key = _words(data).byteswap()
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)
     fresh = np.append(True, key[order][1:] != key[order][:-1])
     del key
-    first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
+    first = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), np.int32(0)))
+    rank = np.empty(n, np.int32)
     rank[order] = first
+    del first
     h = 8
     while h < depth:
         sizes = np.diff(np.append(np.flatnonzero(fresh), n))
@@ -73,9 +75,10 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(open_):
             break
         at = order[open_]
-        then = at + h
+        then = at.astype(np.int64) + h
         behind = np.where(then < n, rank[np.minimum(then, n - 1)] + 1, 0)
-        both = rank[at] * (n + 1) + behind
+        both = rank[at].astype(np.int64) * (n + 1) + behind
+        del then, behind
         by = np.argsort(both, kind="stable")
         order[open_] = at[by]
         both = both[by]
@@ -89,20 +92,21 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Bytes that each suffix of the order shares with the one before it, exact up to most."""
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     # Kasai: if i-1 follows j-1 in the order and i follows j, then i shares one byte less than i-1
     follows = np.zeros(n, bool)
     follows[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0) & (data[:-1] == data[before[:-1]])
     # what is compared is bounded, so the rule is begun anew before it runs out
-    since = np.arange(n) - np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
+    place = np.arange(n, dtype=np.int32)
+    since = place - np.maximum.accumulate(np.where(follows, np.int32(0), place))
     follows &= since % (most // 2) != 0
     starts = np.flatnonzero(~follows)
     words = _words(data)
     shared = np.zeros(len(starts), np.int64)
     live = np.flatnonzero(before[starts] >= 0)
     for k in range(0, most, 8):
-        a, b = starts[live] + k, before[starts[live]] + k
+        a, b = starts[live] + k, before[starts[live]].astype(np.int64) + k
         inside = (a < n) & (b < n)
         live, a, b = live[inside], a[inside], b[inside]
         x = words[a] ^ words[b]
@@ -111,12 +115,20 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         same = np.minimum(same, n - np.maximum(a, b))
         shared[live] += same
         live = live[same == 8]
-    run = np.cumsum(~follows) - 1
-    plcp = np.maximum(shared[run] - (np.arange(n) - starts[run]), 0)
+    del words, since
+    run = np.cumsum(~follows, dtype=np.int32) - 1
+    plcp = np.maximum(shared.astype(np.int32)[run] - (place - starts.astype(np.int32)[run]), 0)
     plcp[before < 0] = 0
     return plcp[order]
 
 
+def _given_back() -> None:
+    """Hand freed memory back to the system: workers live on between groups, and numpy's frees stay with the process."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Chunk:
     """The windows of some documents, by anchor."""
 
@@ -172,8 +184,9 @@ class Chunk:
         self.runs = np.flatnonzero(alive[self.which])
         first, size = self.first[self.runs], self.last[self.runs] - self.first[self.runs] + self.length
         wide = 2 * self.length
-        place = first[:, None] + np.arange(wide)
-        cells = np.where(np.arange(wide) < size[:, None], self.data[np.minimum(place, max(len(self.data) - 1, 0))] if len(self.data) else 0, 0).astype(np.uint8)
+        padded = np.append(self.data, np.zeros(wide, np.uint8))
+        cells = np.lib.stride_tricks.sliding_window_view(padded, wide)[first]
+        cells[np.arange(wide) >= size[:, None]] = 0
         rows = np.column_stack([cells, size.astype(np.uint8), self.anchors[self.which[self.runs]].byteswap().view(np.uint8).reshape(-1, 8)]) if len(first) else np.empty((0, wide + 9), np.uint8)
         rows = np.ascontiguousarray(rows).view(f"V{wide + 9}").ravel()
         self.texts_of, at, self.text_of = np.unique(rows, return_index=True, return_inverse=True)
@@ -285,11 +298,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 
     def ship(b: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = masked(b, replies).shipped() if len(b) else []
+        _given_back()
         return pd.DataFrame([(int(b["chunk"].iloc[0]), *x) for x in out], columns=["chunk", "range", "texts", "sizes", "ids"])
 
     def mark(b: pd.DataFrame) -> pd.DataFrame:
         parts = [[np.frombuffer(zlib.decompress(x), kind) for x in b[c]] for c, kind in (("texts", np.uint8), ("sizes", "u1"), ("ids", "<i8"))]
         found = marks_of(*parts, length)
+        del parts
+        _given_back()
         return pd.DataFrame([(c, r, zlib.compress(np.packbits(m).tobytes(), 1)) for c, r, m in zip(b["chunk"], b["range"], found, strict=True) if m.any()], columns=["chunk", "range", "data"])
 
     def removed(b: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -303,6 +319,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
             g = gone[at : at + n]
             out.append((n, int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), chunk.data[at : at + n][~g].tobytes()))
             at += n
+        _given_back()
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"]).assign(id=chunk.ids, none=sort_rows(b)["none"].to_numpy())
 
     reply = "chunk long, range int, data binary"
