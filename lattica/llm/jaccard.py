@@ -6,8 +6,8 @@ few hash functions each is compared with one centre, and what such links join is
 the token-group matrix holds, for each token of a class's prefix, the groups that have it. Two
 sets at or above the threshold must share a token of their prefixes (the rarest tokens first,
 as a sketch of fixed size counts them over the whole corpus; any order that all sets share is
-exact). A class queries the other groups of its prefix tokens; a group's members are laid out in
-blocks with the union of their tokens, and a block is opened only if its union holds as many of
+exact), and for sets of about one size many of them. A class queries the other groups that share
+as many of its prefix tokens as their sizes ask for; a group's members are laid out in blocks with the union of their tokens, and a block is opened only if its union holds as many of
 the query's tokens as the threshold asks of the query. All links are verified on whole sets.
 
 A large group of copies is one group from its links to centres, so its pairs are never listed;
@@ -21,12 +21,13 @@ are; repeated rows give a row each; other columns are not read; an empty table g
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import Scratch, whole
@@ -36,9 +37,11 @@ WORDS, PERCENT = 5, 80
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 #: Hash functions whose minima propose centres; counters of the sketch, and its blocks.
-MINIMA, COUNTERS, BLOCKS = 3, 1 << 20, 64
+MINIMA, COUNTERS, BLOCKS = 2, 1 << 20, 64
 #: Members of a block of a group; bytes of ids up to which a side is broadcast.
 BLOCK, BROADCAST_BYTES = 32, 32 << 20
+#: Characters of the texts that are hashed together.
+SOME_CHARS = 1 << 20
 KEPT_WORDS = 300_000
 
 
@@ -48,29 +51,63 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
 class Shingles:
     """Sets of shingle hashes; word hashes are kept for a while."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.kept = words, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        kept = self.kept
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-        split = text.encode().translate(_LOWER).split()
-        h = np.empty(len(split), np.uint64)
-        for i, w in enumerate(split):
-            if (x := kept.get(w)) is None:
-                x = kept[w] = xxhash.xxh3_64_intdigest(w)
-            h[i] = x
-        k = min(self.words, len(h))
-        if not k:
-            return h
-        sums = np.full(len(h) - k + 1, k, np.uint64)
-        for j in range(k):
-            sums = _mixed(sums + h[j : len(h) - k + 1 + j])
-        return np.unique(sums)
+        self.words, self.kept = words, _Words()
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The sorted set of each text; texts are hashed some at a time."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < SOME_CHARS:
+                size += len(texts[end])
+                end += 1
+            yield from self._some(texts[at:end])
+            at = end
+
+    def _some(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(self.kept) > KEPT_WORDS:
+            self.kept.clear()
+        split = [t.encode().translate(_LOWER).split() for t in texts]
+        sizes = [len(x) for x in split]
+        pad = self.words - 1
+        h = np.fromiter(map(self.kept.__getitem__, itertools.chain.from_iterable(split)), np.uint64, sum(sizes))
+        whole = np.append(h, np.zeros(pad, np.uint64))
+        sums = np.full(len(h), self.words, np.uint64)
+        for j in range(self.words):
+            sums = _mixed(sums + whole[j : len(h) + j])
+        at = 0
+        for n in sizes:
+            if n >= self.words:
+                yield np.unique(sums[at : at + n - pad])
+            elif n:
+                few = np.full(1, n, np.uint64)
+                for x in h[at : at + n]:
+                    few = _mixed(few + x)
+                yield few
+            else:
+                yield np.empty(0, np.uint64)
+            at += n
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """Tokens in 6 bytes each; 48 bits tell the tokens of a pair of sets apart."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def least(n: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
@@ -78,6 +115,20 @@ def least(n: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
     return -(-n * percent // 100)
 
 
+def _fewest(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """Tokens that prefixes must share if a set of n is to link with one of low to high tokens.
+
+    Of two sets let one's prefix end first. What they share up to there lies in both prefixes, and
+    beyond it are least(its size) - 1 of its tokens. So the prefixes share at least what the
+    threshold asks of the pair less that, and the larger set's part is the larger. Over sizes this
+    is least at one of the two ends, but for a rounding that the one token left out here makes good.
+    """
+    up = lambda a, b: F.floor((a + (b - 1)) / b)
+    need = lambda m: up(percent * (n + m), 100 + percent) - up(percent * F.greatest(n, m), 100)
+    ends = F.greatest(low, up(percent * n, 100)), F.least(high, F.floor(n * 100 / percent))
+    return F.greatest(F.least(need(ends[0]), need(ends[1])), F.lit(1))
+
+
 def ordered(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """Tokens by how often they are, about, then by value."""
     often = np.log2(sketch[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)] + 1).astype(np.int64)
@@ -94,8 +145,8 @@ def _sketch(rows: DataFrame, words: int) -> np.ndarray:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, counts = Shingles(words), np.zeros(COUNTERS, np.int64)
         for b in batches:
-            for text in b["text"]:
-                np.add.at(counts, (shingles(text) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+            every = [t & np.uint64(COUNTERS - 1) for t in shingles(b["text"].tolist())]
+            counts += np.bincount(np.concatenate([np.empty(0, np.int64), *every]).astype(np.int64), minlength=COUNTERS)
         yield pd.DataFrame({"block": range(BLOCKS), "counts": [x.astype("<i4").tobytes() for x in np.split(np.minimum(counts, 2**31 - 1), BLOCKS)]})
 
     def summed(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,11 +171,10 @@ def _tokens(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         shingles, seen = Shingles(words), set()
         for b in batches:
             out = []
-            for text in b["text"]:
-                t = shingles(text)
+            for t in shingles(b["text"].tolist()):
                 if len(t) and (node := xxhash.xxh3_128_digest(t.tobytes())) not in seen:
                     seen.add(node)
-                    out.append((node, len(t), t.astype("<u8").tobytes()))
+                    out.append((node, len(t), _packed(np.sort(t & np.uint64((1 << 48) - 1)))))
             if len(seen) > KEPT_WORDS:
                 seen.clear()
             yield pd.DataFrame(out, columns=["node", "n", "tokens"])
@@ -135,6 +185,11 @@ def _tokens(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return rows.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInPandas(made, "node binary, n int, tokens binary")
 
 
+def _near(df: DataFrame, row_bytes: int = 96) -> DataFrame:
+    """A list of ids and keys, to be broadcast if it is small enough, else to be shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("shuffle_merge")
+
+
 def _opened(asked: DataFrame, blocks: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """(a, b) for each query a of asked (a, block) and each member b of the block that is as similar as asked."""
 
@@ -146,7 +201,7 @@ def _opened(asked: DataFrame, blocks: DataFrame, tokens: DataFrame, percent: int
         for b in batches:
             out = []
             for a, tokens, nodes, sizes, members in zip(b["a"], b["tokens"], b["nodes"], b["sizes"], b["members"], strict=True):
-                query, all_of = np.frombuffer(tokens, "<u8"), np.frombuffer(members, "<u8")
+                query, all_of = _unpacked(tokens), _unpacked(members)
                 at = np.searchsorted(query, all_of)
                 hit = query[np.minimum(at, len(query) - 1)] == all_of
                 if len(np.unique(at[hit])) < least(len(query), percent):  # the union of the block holds too few
@@ -159,8 +214,8 @@ def _opened(asked: DataFrame, blocks: DataFrame, tokens: DataFrame, percent: int
                         out.append((a, node))
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    groups = blocks.join(tokens.hint("shuffle_merge"), "node").groupBy("block").applyInPandas(packed, "block string, nodes array<binary>, sizes array<int>, members binary")
-    asking = asked.join(tokens.select(F.col("node").alias("a"), "tokens").hint("shuffle_merge"), "a")
+    groups = tokens.join(_near(blocks), "node").groupBy("block").applyInPandas(packed, "block string, nodes array<binary>, sizes array<int>, members binary")
+    asking = tokens.select(F.col("node").alias("a"), "tokens").join(_near(asked), "a")
     return asking.join(groups.hint("shuffle_merge"), "block").mapInPandas(opened, "a binary, b binary").distinct()
 
 
@@ -171,17 +226,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     sketch = _sketch(rows, words)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles(words)
+        shingles, seen = Shingles(words), set()
         for b in batches:
             out = []
-            for key, h, text in zip(b["id"], b["h"], b["text"], strict=True):
-                t = shingles(text)
+            if len(seen) > KEPT_WORDS:
+                seen.clear()
+            for key, h, t in zip(b["id"], b["h"], shingles(b["text"].tolist()), strict=True):
                 if not len(t):
-                    out.append((key, h, 0, None, [], b""))
+                    out.append((key, h, 0, None, None, None))
                     continue
+                node = xxhash.xxh3_128_digest(t.tobytes())
+                if node in seen:  # its class has minima and a prefix in this task already
+                    out.append((key, h, len(t), node, None, None))
+                    continue
+                seen.add(node)
                 minima = [int((_mixed(t + np.uint64(_MIX[j + 2]))).min().astype(np.int64)) for j in range(MINIMA)]
                 prefix = ordered(t, sketch)[: len(t) - least(len(t), percent) + 1]
-                out.append((key, h, len(t), xxhash.xxh3_128_digest(t.tobytes()), minima, prefix.astype("<u8").tobytes()))
+                out.append((key, h, len(t), node, minima, _packed(prefix)))
             yield pd.DataFrame(out, columns=["id", "h", "n", "node", "minima", "prefix"])
 
     sets = scratch.write(rows.mapInPandas(described, "id string, h long, n int, node binary, minima array<long>, prefix binary"), "sets")
@@ -192,7 +253,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     linked = None
     grouped = of_class.select("node", F.col("node").alias("component"), "first")
     for j in range(MINIMA):
-        keyed = sets.where("n > 0").select("node", F.col("minima")[j].alias("m")).distinct().join(grouped, "node")
+        keyed = sets.where("minima is not null").select("node", F.col("minima")[j].alias("m")).distinct().join(grouped, "node")
         centres = keyed.groupBy("m").agg(F.min("node").alias("centre"), F.min(F.struct("node", "component", "first")).alias("c"), F.max("node").alias("last")).where("centre != last")
         near = keyed.join(centres.withColumnRenamed("m", "its_m").hint("shuffle_merge"), F.col("m") == F.col("its_m")).where(F.col("component") != F.col("c.component"))
         near = scratch.write(near.select(F.col("node").alias("a"), "centre", "first", F.col("c.first").alias("its_first")), f"near-{j}")
@@ -208,41 +269,43 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         grouped = grouped.select("node", "component", "first") if j + 1 < MINIMA else grouped
 
     # the matrix: tokens of prefixes by groups; only tokens of several groups can link what is not yet one
-    distinct = sets.where("n > 0").groupBy("node").agg(F.first("prefix").alias("prefix"))
+    distinct = sets.where("prefix is not null").select("node", "prefix").dropDuplicates(["node"])
     group_of = grouped.select("node", F.xxhash64("component").alias("g"), "n")
     placed = scratch.write(distinct.join(group_of, "node").select(F.col("node"), "g", "n", "prefix"), "prefixes")
 
-    def with_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = [np.frombuffer(x, "<i8") for x in b["prefix"]]
-            at = np.repeat(np.arange(len(b)), [len(p) for p in parts])
-            yield pd.DataFrame({"token": np.concatenate([np.empty(0, "<i8"), *parts]), "g": b["g"].to_numpy()[at]})
-
-    held = placed.select("g", "prefix").mapInPandas(with_group, "token long, g long")
-    shared = held.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select(F.col("token").alias("its_token"))
-    shared = scratch.write(shared, "shared")
-    size = shared.count() * 16
+            parts = [_unpacked(x) for x in b["prefix"]]
+            yield pd.DataFrame({"token": np.concatenate([np.empty(0, "<u8"), *parts]).astype("<i8")})
 
     def nodes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = [np.frombuffer(x, "<i8") for x in b["prefix"]]
+            parts = [_unpacked(x) for x in b["prefix"]]
             at = np.repeat(np.arange(len(b)), [len(p) for p in parts])
-            yield pd.DataFrame({"token": np.concatenate([np.empty(0, "<i8"), *parts]), "node": b["node"].to_numpy()[at], "g": b["g"].to_numpy()[at], "n": b["n"].to_numpy()[at]})
+            yield pd.DataFrame({"token": np.concatenate([np.empty(0, "<u8"), *parts]).astype("<i8"), "node": b["node"].to_numpy()[at], "g": b["g"].to_numpy()[at], "n": b["n"].to_numpy()[at]})
 
-    some = placed.mapInPandas(nodes_of, "token long, node binary, g long, n int").join(F.broadcast(shared) if size <= BROADCAST_BYTES else shared, F.col("token") == F.col("its_token"), "left_semi")
+    # tokens of several classes first, which asks for the tokens alone; then those of several groups
+    shared = placed.select("prefix").mapInPandas(tokens_of, "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("its_token"))
+    shared = scratch.write(shared, "shared")
+    some = placed.mapInPandas(nodes_of, "token long, node binary, g long, n int").join(_near(shared, 16), F.col("token") == F.col("its_token"), "left_semi")
     some = scratch.write(some, "some")
+    several = some.groupBy(F.col("token").alias("t")).agg(F.min("g").alias("low_g"), F.max("g").alias("high_g")).where("low_g != high_g").select("t")
+    some = scratch.write(some.join(_near(scratch.write(several, "several"), 16), F.col("token") == F.col("t"), "left_semi"), "queried")
+    scratch.drop("some")
     matrix = some.groupBy(F.col("token").alias("its_token"), F.col("g").alias("its_g")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     fits = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent)
-    # of two groups the one with the smaller name is queried
-    asked = some.join(matrix.hint("shuffle_merge"), F.col("token") == F.col("its_token")).where((F.col("g") > F.col("its_g")) & fits).select(F.col("node").alias("a"), "its_g").distinct()
+    # of two groups the one with the larger name asks, and only where the prefixes share as many tokens as a link needs
+    asked = some.join(matrix.hint("shuffle_merge"), F.col("token") == F.col("its_token")).where((F.col("g") > F.col("its_g")) & fits)
+    asked = asked.groupBy(F.col("node").alias("a"), "its_g", "n").agg(F.count("*").alias("common"), F.min("low").alias("low"), F.max("high").alias("high"))
+    asked = asked.where(F.col("common") >= _fewest(F.col("n"), F.col("low"), F.col("high"), percent)).select("a", "its_g")
     asked = scratch.write(asked, "asked")
     opened = asked.select("its_g").distinct()
     members = group_of.join(opened.hint("shuffle_merge"), F.col("g") == F.col("its_g"), "left_semi").select("node", "g", "n")
     sized = members.groupBy("g").agg(F.count("*").alias("members"))
     members = members.join(sized.hint("shuffle_merge"), "g").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
     members = scratch.write(members.select("node", "g", "n", "blocks", F.concat_ws("-", "g", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")), "members")
-    several = members.select("g", "block").distinct()
-    queries = scratch.write(asked.join(several.withColumnRenamed("g", "the_g").hint("shuffle_merge"), F.col("its_g") == F.col("the_g")).select("a", "block"), "queries")
+    of_group = members.select("g", "block").distinct()
+    queries = scratch.write(asked.join(of_group.withColumnRenamed("g", "the_g").hint("shuffle_merge"), F.col("its_g") == F.col("the_g")).select("a", "block"), "queries")
     need = queries.select(F.col("a").alias("node")).unionByName(members.select("node")).distinct().join(of_class, "node").select("first")
     tokens = scratch.write(_tokens(rows, need, words), "tokens")
     links = linked.unionByName(_opened(queries, members.select("node", "block"), tokens, percent))
