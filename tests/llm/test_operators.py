@@ -13,7 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import jaccard, licence, pii, quality, queries, spans, suffix, topk, toxicity
+from lattica.llm import graph, jaccard, licence, pii, quality, queries, spans, suffix, topk, toxicity
+from lattica.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -144,6 +145,14 @@ def test_chain_of_near_copies(spark):
     assert made == {i: c for i, _, c in brute_jaccard(rows)}
 
 
+def test_components_of_a_long_shuffled_chain(spark):
+    """A chain whose nodes have random names, and a short one beside it, are one component each."""
+    names = random.Random(5).sample(range(10**6), 503)
+    pairs = [(a, b) for a, b in itertools.pairwise(names) if b != names[500]]
+    made = graph.components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark, "chain"), "chain")
+    assert {r.node: r.component for r in made.collect()} == {n: min(names[:500] if k < 500 else names[500:]) for k, n in enumerate(names)}
+
+
 # --- spans ----------------------------------------------------------------------------------------
 def brute_spans(rows):
     seen, marks = {}, {}
