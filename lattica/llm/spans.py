@@ -1,12 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
-A text is split into sentences (each with the white space after it). From every sentence a span
-starts: the shortest run of at least ``least_sentences`` sentences that has ``least_words``
-words. Its words, in lower case, are hashed. Spans are joined over the whole corpus; of spans
-with equal words the first, by document and place, stays, and sentences that any other of them
-covers are removed. Equal passages start equal spans wherever they stand, so a repeated passage
-goes but for a broken sentence at its edges. First places come from a partial aggregate and only
-repeated spans are joined back, so a span that a third of all rows hold is summed by parts.
+A text is split into sentences (each with the white space after it). The spans of a text are the
+shortest runs of at least ``least_sentences`` sentences with words that have ``least_words``
+words, one starting at every sentence and one ending at every sentence, and every single sentence
+of ``long_words`` words. With no floor of words these are the pairs of neighbours, and as every
+run of several sentences is covered by its pairs, a repeated run of any length goes whole. A
+span's words, in lower case, are hashed. Spans are joined over the whole corpus; of spans with
+equal words the first, by document and place, stays, and sentences that any other of them covers
+are removed; the first place of a sentence always stays. Of a repeated passage a broken sentence
+at its edges stays, and a lone whole sentence of under ``long_words`` words between two such.
+First places come from a partial aggregate and only repeated spans are joined back, so a span
+that a third of all rows hold is summed by parts.
 
 Defined results: null and empty texts have no sentences and stay; a text shorter than a span
 stays; spans that repeat within one text count too; rows equal in id and text count as one
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import whole
 
-LEAST_SENTENCES, LEAST_WORDS = 2, 20
+#: A run of several sentences is a span whatever its words; a single sentence is one from LONG_WORDS words.
+LEAST_SENTENCES, LEAST_WORDS, LONG_WORDS = 2, 0, 50
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 
 
@@ -38,22 +43,32 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in itertools.pairwise(edges) if b > a]
 
 
-def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences, hash of the words) of each span."""
-    words = [s.lower().split() for s in sentences(text)]
-    counts = [len(w) for w in words]
-    out, end, held = [], 0, 0
-    for k in range(len(words)):
-        while end < len(words) and (end - k < least_sentences or held < least_words):
+def _runs(counts: list[int], least_sentences: int, least_words: int) -> set[tuple[int, int]]:
+    """(start, end) of the shortest run from each place that has enough sentences and words."""
+    out, end, held = set(), 0, 0
+    for k in range(len(counts)):
+        while end < len(counts) and (end - k < least_sentences or held < least_words):
             held += counts[end]
             end += 1
         if end - k < least_sentences or held < least_words:
             break
-        out.append((k, end - k, xxhash.xxh3_128_digest(" ".join([" ".join(w) for w in words[k:end]]))))
+        out.add((k, end))
         held -= counts[k]
     return out
 
 
+def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> list[tuple[int, int, bytes]]:
+    """(first sentence, sentences, hash of the words) of each span; sentences without words count for nothing."""
+    words = [(k, w) for k, s in enumerate(sentences(text)) if (w := s.lower().split())]
+    counts = [len(w) for _, w in words]
+    found = _runs(counts, least_sentences, least_words)
+    if least_words:
+        found |= {(len(counts) - b, len(counts) - a) for a, b in _runs(counts[::-1], least_sentences, least_words)}
+    found |= {(k, k + 1) for k, n in enumerate(counts) if n >= long_words}
+    joined = [" ".join(w) for _, w in words]
+    return [(words[a][0], words[b - 1][0] - words[a][0] + 1, xxhash.xxh3_128_digest(" ".join(joined[a:b]))) for a, b in sorted(found)]
+
+
 def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int]:
     """The text without covered sentences, how many there were and how many went."""
     parts = sentences(text)
@@ -63,13 +78,13 @@ def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "".join(p for p, g in zip(parts, gone, strict=True) if not g), len(parts), int(gone.sum())
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """docs with repeated sentences removed from the text, and columns _sentences and _removed with their numbers."""
     order = docs.schema[id_col].dataType
 
     def spanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(key, h, *s) for key, h, text in zip(b["id"], b["h"], b["text"], strict=True) for s in spans(text, least_sentences, least_words)]
+            out = [(key, h, *s) for key, h, text in zip(b["id"], b["h"], b["text"], strict=True) for s in spans(text, least_sentences, least_words, long_words)]
             yield pd.DataFrame(out, columns=["id", "h", "k", "n", "words"])
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(whole(text_col)).alias("h"), whole(text_col).alias("text"))

@@ -173,6 +173,33 @@ def test_spans_equal_brute_force(spark, docs):
     assert spans.dedup(frame(spark, docs).limit(0)).count() == 0
 
 
+def brute_runs(texts):
+    """What stays if of every run of two or more sentences, and every sentence of 50 words, only the first stays."""
+    parts = [[p for p in re.split(r"(?<=[.!?] )|(?<=\n)", t) if p] for t in texts]
+    seen, out = set(), []
+    for mine in parts:
+        gone = set()
+        for a in range(len(mine)):
+            for b in range(a + 1, len(mine) + 1):
+                run = tuple(" ".join(mine[a:b]).lower().split())
+                if b - a > 1 or len(run) >= 50:
+                    gone |= set(range(a, b)) if run in seen else set()
+                    seen.add(run)
+        out.append("".join(p for k, p in enumerate(mine) if k not in gone))
+    return out
+
+
+def test_every_repeated_run_of_sentences_goes(spark):
+    """Tails of few words, runs of short sentences and a long single sentence, each between other sentences."""
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choices("abcdefghij", k=7)) for _ in range(n)) + ". "
+    shared = [words(30) + words(5) + words(10), words(4) + words(6), words(55), words(3) + words(2) + words(4)]
+    texts = [words(8) + words(9) + r.choice(shared) + words(7) + r.choice(shared) + words(12) for _ in range(40)]
+    made = spans.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [t.text for t in made.orderBy("doc_id").collect()] == brute_runs(texts)
+    assert sum(any(s in t for s in shared) for t in brute_runs(texts)) <= len(shared)
+
+
 def test_sentences_join_to_the_text():
     for t in ("", "a", "One. Two!  Three?\n\nFour", "\n\n x. y", "3.14 is. no end", "..."):
         assert "".join(spans.sentences(t)) == t
