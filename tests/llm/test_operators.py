@@ -282,6 +282,16 @@ def test_candidates_are_selected_by_context(spark, trees):
     assert out[4] == "mail me: [EMAIL] now"
 
 
+def test_secrets_and_numbers_that_only_words_tell(spark):
+    r = random.Random(2)
+    h = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    good = [f'plain words token = "{h(40)}" and more', f'plain TOKEN = "{h(40).upper()}" and', f"the token {h(40)} is", f"the key {h(32).upper()} is", f"the secret {h(128)} is", f"so password={h(100)} it", "her ssn 078-05-1120 is"]
+    bad = [f"commit {h(40)} is", f"plain words sha {h(64)} is", "order 078-05-1120 is"]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    out = [x.text for x in pii.redact(df, pii.train(spark)).orderBy("doc_id").collect()]
+    assert out == ["plain words [SECRET] and more", "plain [SECRET] and", "the token [SECRET] is", "the key [SECRET] is", "the secret [SECRET] is", "so [SECRET] it", "her ssn [ID] is", *bad]
+
+
 # --- the rest -----------------------------------------------------------------------------------------
 def test_licence(spark):
     mit = licence.KNOWN[0][1]
