@@ -3,7 +3,9 @@
 A text is brought to a canonical form: lower case, lines that state a copyright removed, every
 run of other characters than letters and digits as one space, and equivalent spellings as one.
 The digest of the whole form is looked up among digests of known licences, made by the same
-expression. The known table is a parameter of a few texts and is broadcast.
+expression. The known table is a parameter of a few texts and is broadcast. A text whose digest
+is not known is looked up once more with copyright lines removed that stand behind comment marks
+or say "portions"; the digest that is returned stays that of the canonical form.
 
 Defined results: null and empty texts, and texts of copyright lines alone, have the digest of
 the empty form, which is no licence; a null id passes through; equal rows are treated alike;
@@ -12,6 +14,9 @@ other columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +33,8 @@ SPELLINGS = {
     "sub license": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "wilfull",
 }
 COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Such lines behind comment marks too.
+MARKED = r"(^|\n)[^\p{L}\p{N}\n]*(portions[ \t]+)?(copyright|\(c\)|©|all rights reserved)[^\n]*"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -47,10 +54,12 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
 ]
+#: Full texts of common licences, some with and without title, numbers or appendix.
+FULL = [(r["licence"], r["text"]) for r in json.loads(Path(__file__).with_name("licences.json").read_text(encoding="utf-8"))]
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, "$1")
+def canonical(text: Column, removed: str = COPYRIGHT) -> Column:
+    out = F.regexp_replace(F.lower(text), removed, "$1")
     out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
     out = F.concat(F.lit(" "), F.replace(out, F.lit(" "), F.lit("  ")), F.lit(" "))  # each word with spaces of its own
     for said, meant in SPELLINGS.items():
@@ -58,14 +67,20 @@ def canonical(text: Column) -> Column:
     return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: list[tuple[str, str]] = [*KNOWN, *FULL], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B006
     """(id, digest, licence): the digest of the canonical whole text, and the known licence that has it, or null."""
     if len(known) > 100_000:
         raise ValueError("too many known texts to broadcast")
-    names = docs.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(t).alias("text")) for n, t in known])).alias("k"))
-    names = names.select(F.sha2(canonical(F.col("k.text")), 256).alias("its_digest"), "k.licence").groupBy("its_digest").agg(F.min("licence").alias("licence"))
-    out = docs.select(F.col(id_col).alias("id"), F.sha2(canonical(whole(text_col)), 256).alias("digest"))
-    return out.join(F.broadcast(names), F.col("digest") == F.col("its_digest"), "left").select(F.col("id").alias(id_col), "digest", "licence")
+    texts = docs.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(t).alias("text")) for n, t in known])).alias("k"))
+
+    def names(removed: str, digest: str, licence: str) -> DataFrame:
+        return F.broadcast(texts.select(F.sha2(canonical(F.col("k.text"), removed), 256).alias(digest), "k.licence").groupBy(digest).agg(F.min("licence").alias(licence)))
+
+    text = whole(text_col)
+    marked = F.when(F.lower(text).rlike(MARKED), F.sha2(canonical(text, MARKED), 256))
+    out = docs.select(F.col(id_col).alias("id"), F.sha2(canonical(text), 256).alias("digest"), marked.alias("marked"))
+    out = out.join(names(COPYRIGHT, "its_digest", "whole"), F.col("digest") == F.col("its_digest"), "left").join(names(MARKED, "its_marked", "behind"), F.col("marked") == F.col("its_marked"), "left")
+    return out.select(F.col("id").alias(id_col), "digest", F.coalesce("whole", "behind").alias("licence"))
 
 
 def _quoted(text: str) -> str:
@@ -73,7 +88,7 @@ def _quoted(text: str) -> str:
 
 
 def sql(known: list[tuple[str, str]] = KNOWN) -> str:
-    """scan() of documents as DuckDB SQL."""
+    """scan() of documents as DuckDB SQL, with the texts of known alone and without the second look behind comment marks."""
 
     def form(x: str) -> str:
         x = f"regexp_replace(lower({x}), {_quoted(COPYRIGHT)}, '\\1', 'g')"

@@ -302,6 +302,16 @@ def test_licence(spark):
     assert licence.scan(df.limit(0)).count() == 0
 
 
+def test_full_licences_and_comments(spark):
+    texts = {n: t for n, t in licence.FULL}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0"} == set(texts)
+    rows = [(n, " \n" + t.replace("\n", " \n ")) for n, t in texts.items()]
+    for mark in ("# ", " * ", "// ", "Portions "):
+        rows.append(("MIT", f"{mark}Copyright 2020 A. Person\n" + (licence.KNOWN[0][1] if mark[0] == "P" else "\n".join(mark + x for x in licence.KNOWN[0][1].split("\n")))))
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert [(r.doc_id, r.licence) for r in licence.scan(df).collect() if r.doc_id != r.licence] == []
+
+
 def test_topk_equals_brute_force(spark):
     r = random.Random(4)
     rows = [(i, [r.choice([0.5, -0.25, r.uniform(-1, 1)]) for _ in range(6)]) for i in range(300)]
