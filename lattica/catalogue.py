@@ -759,9 +759,11 @@ def fit_hidden(spark, sf_dir):
 
 @query("fit_manifold")
 def fit_manifold(spark, sf_dir):
-    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
+    e = read(spark, sf_dir, "embeddings")
+    parts = [f"e{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0])]
+    v = e.select(F.col("vec_id").alias("row_id"), "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(parts)])
     recipe = R.Recipe.chain(R.ManifoldInput(K=10, subspace_dimension=2, epsilon=0.01), R.ClassificationHead(), delta=0.3)
-    made = _fit(v, recipe, "label", continuous=[f"e{i}" for i in range(16)], max_iter=3)
+    made = _fit(v, recipe, "label", continuous=parts, max_iter=3)
     return made.predict(v.drop("label")).select("row_id", "label")
 
 

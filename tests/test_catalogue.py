@@ -32,6 +32,14 @@ def test_query_equals_sql(spark, con, name):
         assert got[c].tolist() == want[c].tolist(), c
 
 
+def test_manifold_reads_every_component(spark, tmp_path):
+    """Vectors that differ only beyond their first 16 components are told apart."""
+    rows = [(i, [(i // 10) * (d + 1) % 17 / 17 for d in range(16)] + [float(d % 10 == i % 10) + 0.001 * ((i * d) % 7) for d in range(48)], i % 10) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    label = {r.row_id: r.label for r in catalogue.fit_manifold(spark, str(tmp_path)).collect()}
+    assert any(label[i] != label[j] for i in label for j in label if i // 10 == j // 10)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
