@@ -694,9 +694,13 @@ def _rows_of_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fit(df: DataFrame, recipe: R.Recipe, target: str | list[str], **options) -> N.Network:
+    return N.fit(df, recipe, target, row_id="row_id", **options)
+
+
+def _step(df: DataFrame, recipe: R.Recipe, target: str | list[str], **options) -> N.Network:
     with warnings.catch_warnings():
-        warnings.simplefilter("ignore", N.ConvergenceWarning)  # a fixed number of iterations is asked for
-        return N.fit(df, recipe, target, row_id="row_id", **options)
+        warnings.simplefilter("ignore", N.ConvergenceWarning)  # one iteration is asked for
+        return _fit(df, recipe, target, max_iter=1, **options)
 
 
 def _centres(spark: SparkSession, network: N.Network) -> DataFrame:
@@ -716,7 +720,7 @@ _NEXT = "nx AS (SELECT ga.*, " + ", ".join(f"d{k} - {_d(DELTA)} * ln(greatest(CA
 @query("fit_step_classification", f"{_STEP}, {_THETAS}, {_NEXT} " + _kd("sum({g} * {x}) / sum({g})", "gn"))
 def fit_step_classification(spark, sf_dir):
     recipe = R.Recipe.chain(R.Input(K=K, epsilon=TEMP), R.ClassificationHead(), delta=DELTA)
-    return _centres(spark, _fit(_rows_of_lineitem(spark, sf_dir), recipe, "l_returnflag", layout=_LAYOUT, centres=C, max_iter=1))
+    return _centres(spark, _step(_rows_of_lineitem(spark, sf_dir), recipe, "l_returnflag", layout=_LAYOUT, centres=C))
 
 
 _CYS = "cy AS (SELECT " + ", ".join(f"sum(g{k} * x1) / sum(g{k}) AS y{k}" for k in range(K)) + " FROM ga)"
@@ -727,7 +731,7 @@ _RNEXT = "nx AS (SELECT ga.*, " + ", ".join(f"d{k} + {_d(DELTA)} * (y{k} * y{k}
 def fit_step_regression(spark, sf_dir):
     recipe = R.Recipe.chain(R.Input(K=K, epsilon=TEMP), R.RegressionHead(), delta=DELTA)
     rows = _rows_of_lineitem(spark, sf_dir).withColumn("price", S.scaled("l_extendedprice", 900.0, 105000.0))
-    return _centres(spark, _fit(rows, recipe, "price", layout=_LAYOUT, centres=C, max_iter=1))
+    return _centres(spark, _step(rows, recipe, "price", layout=_LAYOUT, centres=C))
 
 
 def _classified(spark: SparkSession, sf_dir: str, recipe: R.Recipe, **options) -> tuple[DataFrame, N.Network]:
@@ -738,7 +742,7 @@ def _classified(spark: SparkSession, sf_dir: str, recipe: R.Recipe, **options) -
 @query("fit_classification")
 def fit_classification(spark, sf_dir):
     recipe = R.Recipe.chain(R.Input(K=8, epsilon=0.01, epsilon_D=0.05), R.ClassificationHead(), delta=0.3)
-    df, made = _classified(spark, sf_dir, recipe, max_iter=3)
+    df, made = _classified(spark, sf_dir, recipe)
     return made.predict(df).select(*KEYS, "label", F.array_max("prediction").alias("p"))
 
 
@@ -746,14 +750,14 @@ def fit_classification(spark, sf_dir):
 def fit_regression(spark, sf_dir):
     df = _rows_of_lineitem(spark, sf_dir).withColumn("price", S.scaled("l_extendedprice", 900.0, 105000.0))
     recipe = R.Recipe.chain(R.Input(K=8, epsilon=0.01), R.RegressionHead(), delta=2.0)
-    made = _fit(df, recipe, "price", continuous=["l_quantity", "l_discount", "l_tax"], max_iter=3)
+    made = _fit(df, recipe, "price", continuous=["l_quantity", "l_discount", "l_tax"])
     return made.predict(df).select(*KEYS, F.col("prediction")[0].alias("price"))
 
 
 @query("fit_hidden")
 def fit_hidden(spark, sf_dir):
     recipe = R.Recipe.chain(R.Input(K=8, epsilon=0.01), R.Hidden(K=4, epsilon=0.05), R.ClassificationHead(), delta=0.3)
-    df, made = _classified(spark, sf_dir, recipe, max_iter=2)
+    df, made = _classified(spark, sf_dir, recipe)
     return made.predict(df).select(*KEYS, "label")
 
 
@@ -763,21 +767,21 @@ def fit_manifold(spark, sf_dir):
     parts = [f"e{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0])]
     v = e.select(F.col("vec_id").alias("row_id"), "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(parts)])
     recipe = R.Recipe.chain(R.ManifoldInput(K=10, subspace_dimension=2, epsilon=0.01), R.ClassificationHead(), delta=0.3)
-    made = _fit(v, recipe, "label", continuous=parts, max_iter=3)
+    made = _fit(v, recipe, "label", continuous=parts)
     return made.predict(v.drop("label")).select("row_id", "label")
 
 
 @query("predict_iterative")
 def predict_iterative(spark, sf_dir):
     recipe = R.Recipe.chain(R.Input(K=6, epsilon=0.02), R.ClassificationHead(), delta=0.2)
-    df, made = _classified(spark, sf_dir, recipe, max_iter=2)
-    return made.predict(df, config=N.PredictConfig(mode="iterative", max_iter=4)).select(*KEYS, "label")
+    df, made = _classified(spark, sf_dir, recipe)
+    return made.predict(df, config=N.PredictConfig(mode="iterative")).select(*KEYS, "label")
 
 
 @query("score_samples")
 def score_samples(spark, sf_dir):
     recipe = R.Recipe.chain(R.Input(K=6, epsilon=0.02, epsilon_T=0.5), R.ClassificationHead(), delta=0.2)
-    df, made = _classified(spark, sf_dir, recipe, max_iter=2)
+    df, made = _classified(spark, sf_dir, recipe)
     return made.score_samples(df, df, "row_id")
 
 
@@ -786,7 +790,5 @@ def select_init(spark, sf_dir):
     from lattica.plans.selection import select
 
     df = read(spark, sf_dir, "part").withColumn("row_id", F.col("p_partkey"))
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore", N.ConvergenceWarning)
-        made = select(df, R.Recipe.chain(R.Input(K=5, epsilon=0.02), R.ClassificationHead(), delta=0.2), "p_brand", row_id="row_id", inits=3, parallel=3, continuous=["p_size", "p_retailprice"], max_iter=2)
+    made = select(df, R.Recipe.chain(R.Input(K=5, epsilon=0.02), R.ClassificationHead(), delta=0.2), "p_brand", row_id="row_id", inits=3, parallel=3, continuous=["p_size", "p_retailprice"])
     return made.predict(df).select("p_partkey", "label")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from lattica import catalogue
+from lattica.plans import selection
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,6 +43,22 @@ def test_manifold_reads_every_component(spark, tmp_path):
     assert any(label[i] != label[j] for i in label for j in label if i // 10 == j // 10)
 
 
+@pytest.mark.parametrize("name", ["fit_classification", "fit_regression", "fit_hidden", "fit_manifold", "predict_iterative", "score_samples", "select_init"])
+def test_whole_models_are_fitted_to_tolerance(spark, monkeypatch, name):
+    """Nothing shortens a fit or hides that it has not settled."""
+
+    def asked(*args, **options):
+        assert not {"max_iter", "tol"} & set(options)
+        with pytest.warns(catalogue.N.ConvergenceWarning):
+            warnings.warn("not settled", catalogue.N.ConvergenceWarning, stacklevel=1)
+        raise StopIteration
+
+    monkeypatch.setattr(catalogue.N, "fit", asked)
+    monkeypatch.setattr(selection, "select", asked)
+    with pytest.raises(StopIteration):
+        catalogue.QUERIES[name](spark, SF)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
