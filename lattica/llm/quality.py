@@ -27,8 +27,8 @@ from lattica.llm.common import whole
 SYMBOLS = b"#*$%&|<>"
 #: Base rules: fewest words, largest share of words in repeated three-word windows.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
-#: A line is frequent in more documents of its host than this many and than this share of them.
-LINE_DOCS, LINE_SHARE = 20, 0.01
+#: A line is frequent in more documents of its host than LINE_DOCS and than LINE_SHARE of them, and in more than MOST_DOCS whatever the host's size.
+LINE_DOCS, LINE_SHARE, MOST_DOCS = 20, 0.01, 1000
 #: A document is depleted if it loses more than this share of its words, or keeps fewer than LEAST_LEFT.
 MOST_LOST, LEAST_LEFT = 0.5, 25
 
@@ -67,7 +67,7 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, dup, repeated
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_lines, n_removed_words), a row per row of docs."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(host_col).cast("string").alias("host"), whole(text_col).alias("text"))
 
@@ -95,9 +95,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     lines = rows.mapInPandas(lined, "id string, h binary, host string, line binary, n_lines int, n_line_words int")
     document = F.coalesce(F.col("id"), F.hex("h"))
     of_host = rows.select("host", F.coalesce("id", F.sha2("text", 256)).alias("d")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    held = lines.groupBy("host", "line", document.alias("d")).agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs)
+    held = lines.groupBy("host", "line", document.alias("d")).agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min(line_docs, most_docs))
     limits = of_host.withColumnRenamed("host", "its_host")
-    frequent = held.join(limits, F.col("host").eqNullSafe(F.col("its_host"))).where(F.col("docs") > F.col("host_docs") * line_share).select(F.col("host").alias("its_host"), F.col("line").alias("its_line"))
+    frequent = held.join(limits, F.col("host").eqNullSafe(F.col("its_host"))).where((F.col("docs") > F.col("host_docs") * line_share) & (F.col("docs") > line_docs) | (F.col("docs") > most_docs)).select(F.col("host").alias("its_host"), F.col("line").alias("its_line"))
     lost = (
         lines.join(frequent, F.col("host").eqNullSafe(F.col("its_host")) & (F.col("line") == F.col("its_line")))
         .groupBy("id", "h", "host", "line")

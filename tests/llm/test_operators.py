@@ -241,6 +241,14 @@ def test_frequent_lines_deplete(spark):
     assert all(got[i].kept == (got[i].n_removed_words <= 0.5 * got[i].n_words) for i in range(1, 10))
 
 
+def test_a_large_host_does_not_bring_lines_back(spark):
+    r = random.Random(4)
+    line = prose(r, 30).replace("\n", " ")
+    rows = [(i, f"{line}\n{prose(r, 55)}" if i < 12 else prose(r, 60), "en", "a", 1) for i in range(80)]
+    got = {x.doc_id: x.n_removed_lines for x in quality.judge(spark.createDataFrame(rows, DOC), line_docs=5, line_share=0.5, most_docs=10).collect()}
+    assert got == {i: int(i < 12) for i in range(80)}
+
+
 # --- personal data -----------------------------------------------------------------------------------
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
