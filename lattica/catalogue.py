@@ -277,11 +277,17 @@ def sq_norm(spark, sf_dir):
     return lineitem(spark, sf_dir).select(*KEYS, r6(A.sq_norm(F.col("x"), W)).alias("value"))
 
 
+#: Centres that the driver may hold.
+MOST_CENTRES = 1000
+
+
 # --- distances ------------------------------------------------------------------------------
 @query("sqdist_matrix", "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), c AS (SELECT label AS k, min_by(e, vec_id) AS c FROM v GROUP BY label) SELECT vec_id, k, round(list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS value FROM v, c")
 def sqdist_matrix(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    first = v.groupBy("label").agg(F.min(F.struct("vec_id", "e")).alias("m")).select("label", "m.e").limit(1000).collect()  # a centre for each of the ten classes
+    first = v.groupBy("label").agg(F.min(F.struct("vec_id", "e")).alias("m")).select("label", "m.e").limit(MOST_CENTRES + 1).collect()  # a centre for each of the ten classes
+    if len(first) > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} labels: too many centres for the driver")
     centres = F.array(*[F.struct(F.lit(r["label"]).alias("k"), A.vector(r["e"]).alias("c")) for r in sorted(first)])
     long = v.select("vec_id", "e", F.explode(centres).alias("c"))
     return long.select("vec_id", F.col("c.k").alias("k"), r6(A.total(F.zip_with("e", "c.c", lambda a, b: (a - b) * (a - b)))).alias("value"))

@@ -59,6 +59,12 @@ def test_whole_models_are_fitted_to_tolerance(spark, monkeypatch, name):
         catalogue.QUERIES[name](spark, SF)
 
 
+def test_no_centre_vanishes(spark, tmp_path):
+    spark.createDataFrame([(i, [float(i)], i) for i in range(1001)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    with pytest.raises(ValueError, match="labels"):
+        catalogue.sqdist_matrix(spark, str(tmp_path))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
