@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
@@ -26,6 +34,34 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Hand Python workers at most BATCH_ROWS rows at a time, unless the session says how many: a batch of whole texts is held several times over."""
+    if spark.conf.get(_BATCH, "10000") == "10000":  # Spark's default
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return spark
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: Python workers live on after a task, and what they have freed stays with the process."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """work for mapInPandas that gives memory back when its task ends."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 class Scratch:
     """Written tables in the shared folder; they cut lineage and survive lost executors.
 
@@ -33,7 +69,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark = spark
+        self.spark = small_batches(spark)
         self.root = f"{shared_dir(spark)}/lattica-{what}-{uuid.uuid4().hex}"
         atexit.register(self._clear)
 

@@ -1,50 +1,71 @@
 """Exact removal of long repeated byte strings, by suffix arrays.
 
-Every string of ``length`` bytes (a window) holds the smallest hash of its ``GRAM``-byte pieces,
-its anchor; equal windows have equal anchors. So:
-
-1. Documents are dealt into chunks. Each chunk sorts its anchors, cuts the sorted list at the
-   splitters of all ranges by binary search, and ships the lists. A range merges the lists of
-   all chunks and tells each which of its anchors stand in several documents. Others cannot be
-   in a repeated window.
-2. A chunk cuts out the text around such anchors, equal texts once, with the smallest document;
-   these go to the shard of their anchor's range. A shard builds the suffix array of its text by
-   Larsson-Sadakane refinement in numpy (only suffixes whose order is still open are sorted
-   again, by the rank of what follows at twice the distance), then common prefixes along it:
-   Kasai's rule gives those of a suffix from the one before it, so bytes are compared only where
-   the rule does not hold. Runs with common prefixes of ``length`` or more are equal windows; all
-   but those of the smallest document are marked, and the marks go back to the chunks.
-3. A chunk removes what marked windows cover.
-
-Only anchors, texts around repeated anchors and marks move between chunks. Copies are shipped
-once a chunk, so a passage that a third of all rows hold comes from each chunk once. Texts are
-compared as bytes, so no hash decides a result.
+Every string of ``length`` bytes (a window) holds the smallest hash of its pieces of ``gram``
+bytes, its anchor; equal windows have equal anchors at equal places. Documents are dealt into
+shards of about ``CHUNK_BYTES``, and anchors into as many ranges as there are partitions:
+
+1. A shard sorts its anchors, cuts the sorted list at the splitters of all ranges by binary
+   search, and ships the lists. A range merges the lists of all shards and tells each which of
+   its anchors stand in several documents. Others cannot be in a repeated window.
+2. A shard builds the suffix array of its text around such anchors by Larsson-Sadakane refinement
+   in numpy (only suffixes whose order is still open are sorted again, by the rank of what
+   follows at twice the distance), then common prefixes along it: Kasai's rule gives those of a
+   suffix from the one before it, so bytes are compared only where the rule does not hold. Equal
+   surroundings become one, with the smallest document; of each the bytes from the anchor on and
+   those before it go to the anchor's range, in the order of the suffix array.
+3. A range merges the sorted suffixes of all shards by binary search, and orders what stands
+   before the anchors likewise. Two windows with the anchor at the same place are equal if both
+   parts have common prefixes of their lengths; all but those of the smallest document are
+   marked, a bit a window, and the marks go back to the shards.
+4. A shard removes what marked windows cover.
+
+A shard is made of rows that a task reads one after the other, so dealing moves nothing; whole
+texts are written once, compressed, in rows of shards, which are shuffled to meet what comes back
+from ranges. Beside them anchors, texts around repeated anchors and marks move. Copies are shipped once a shard, so a passage that a
+third of all rows hold comes from each shard once, and in a range its equal texts become one. A
+range works through its suffixes some at a time. Texts are compared as bytes, so no hash decides
+a result.
 
 Defined results: a null text counts as empty; texts shorter than a window keep all bytes; a null
 id counts as smaller than any other; rows that share an id do not mark each other; repeats
-within one text are no matches; an empty table gives no rows; other columns are not read. Ids
-are whole numbers.
+within one text are no matches; an empty table gives no rows; other columns are not read,
+whatever they are called. Ids are whole numbers; windows have at least 8 bytes.
 """
 
 from __future__ import annotations
 
-import ctypes
+import itertools
+import pickle
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, whole
+from lattica.llm.common import Scratch, give_back, partitions, tidy, whole
 
-LENGTH, GRAM = 50, 24
-#: Bytes of a chunk, and of all text for each range, about: texts around repeated anchors may be somewhat more.
-CHUNK_BYTES, SHARD_BYTES = 1 << 20, 1 << 20
+LENGTH = 50
+#: Bytes of a shard, about; suffixes of a range that are compared together, about.
+CHUNK_BYTES, TOGETHER = 1 << 20, 1 << 17
+#: Places of an anchor in a window are told apart by the bits of a mark.
+MOST_PLACES = 27
+#: Bits of an anchor: two pieces of one anchor cost a comparison, no more.
+ANCHOR_BITS = 48
 NO_ID = -(1 << 63)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def gram(length: int) -> int:
+    """Bytes of an anchor's piece: a multiple of 8 that leaves at most MOST_PLACES places in a window."""
+    if length < 8:
+        raise ValueError("windows have at least 8 bytes")
+    return max(8, 8 * -(-(length - MOST_PLACES + 1) // 8))
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _A
     h = (h ^ (h >> np.uint64(29))) * _B
@@ -122,107 +143,127 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return plcp[order]
 
 
-def _given_back() -> None:
-    """Hand freed memory back to the system: workers live on between groups, and numpy's frees stay with the process."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+def _kept(*parts: object) -> bytes:
+    return zstandard.compress(pickle.dumps(parts, protocol=5), 3)
+
+
+def _taken(data: bytes) -> tuple:
+    return pickle.loads(zstandard.decompress(data))
 
 
 class Chunk:
-    """The windows of some documents, by anchor."""
+    """A shard of documents, and its windows by anchor."""
 
-    def __init__(self, texts: list[bytes], ids: np.ndarray, length: int, splitters: np.ndarray):
-        self.length, self.texts, self.ids = length, texts, ids
+    def __init__(self, texts: list[bytes], ids: np.ndarray, none: np.ndarray, length: int = LENGTH):
+        self.length, self.gram, self.ids, self.none = length, gram(length), ids, none
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        n = len(self.data)
+
+    def windows(self) -> None:
+        """Runs of windows with one anchor: first and last window, anchor's place, hash (as a number in the sorted list of anchors)."""
+        n, length = len(self.data), self.length
         ends = np.cumsum(self.sizes)
-        of = np.repeat(np.arange(len(texts)), self.sizes)
-        at = np.arange(n)
-        self.first = self.last = self.doc = np.empty(0, np.int64)
+        of = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.first = self.last = self.place = self.doc = np.empty(0, np.int64)
         hashes = np.empty(0, np.uint64)
-        if n:
-            window = at + length <= ends[of]
-            words = _words(self.data)
+        if n >= length:
             step = lambda w, k: np.append(w[k:], np.zeros(min(k, n), w.dtype))
+            words = _words(self.data)
             key = _mixed(words)
-            for k in range(8, GRAM, 8):
+            for k in range(8, self.gram, 8):
                 key = _mixed(key ^ step(words, k))
-            key = (key & ~np.uint64(63)) | (at & 63).astype(np.uint64)
-            span, reach = length - GRAM + 1, 1  # pieces of a window; how many the minimum covers
+            del words
+            key = (key & ~np.uint64(63)) | (np.arange(n) & 63).astype(np.uint64)
+            span, reach = length - self.gram + 1, 1  # pieces of a window; how many the minimum covers
             least = key
             while 2 * reach <= span:
-                least = np.minimum(least, step(least, reach)) if reach < n else least
+                least = np.minimum(least, step(least, reach))
                 reach *= 2
-            least = np.minimum(least, step(least, span - reach)) if span > reach and n > span - reach else least
-            s = np.flatnonzero(window)
+            least = np.minimum(least, step(least, span - reach)) if span > reach else least
+            s = np.flatnonzero(np.arange(n) + length <= ends[of])
             least = least[s]
-            anchor = s + ((least & np.uint64(63)).astype(np.int64) - s) % 64
-            new = np.append(True, (anchor[1:] != anchor[:-1]) | (s[1:] != s[:-1] + 1) | (of[s[1:]] != of[s[:-1]]))[: len(s)]
+            place = s + ((least & np.uint64(63)).astype(np.int64) - s) % 64
+            new = np.append(True, (place[1:] != place[:-1]) | (s[1:] != s[:-1] + 1) | (of[s[1:]] != of[s[:-1]]))[: len(s)]
             runs = np.flatnonzero(new)
-            self.first, self.last = s[runs], s[np.append(runs[1:], len(s)) - 1] if len(runs) else s[:0]
-            self.doc = of[self.first]
-            hashes = least[runs] >> np.uint64(6)
+            if len(runs):
+                self.first, self.last, self.place = s[runs], s[np.append(runs[1:], len(s)) - 1], place[runs]
+                self.doc = of[self.first].astype(np.int64)
+                # least hashes are small numbers; mixed again they spread evenly over ranges
+                hashes = _mixed(least[runs] | np.uint64(63)) >> np.uint64(64 - ANCHOR_BITS)
         self.anchors, self.which = np.unique(hashes, return_inverse=True)
-        self.edges = np.concatenate([[0], np.searchsorted(self.anchors, splitters), [len(self.anchors)]])
 
-    def lists(self) -> list[tuple[int, bytes]]:
-        """(range, its sorted anchors, each with whether several documents of the chunk hold it)."""
+    def edges(self, ranges: int) -> np.ndarray:
+        """Where the sorted anchors are cut at the splitters of the ranges."""
+        cuts = (np.arange(1, ranges, dtype=np.float64) / ranges * 2.0**ANCHOR_BITS).astype(np.uint64)
+        return np.concatenate([[0], np.searchsorted(self.anchors, cuts), [len(self.anchors)]])
+
+    def lists(self, ranges: int) -> list[tuple[int, bytes]]:
+        """(range, its sorted anchors, each with whether several documents of the shard hold it)."""
         low, high = np.full(len(self.anchors), 2**62), np.full(len(self.anchors), -1)
         np.minimum.at(low, self.which, self.doc)
         np.maximum.at(high, self.which, self.doc)
         values = (self.anchors << np.uint64(1)) | (low != high).astype(np.uint64)
-        return [(r, _squeezed(values[a:b])) for r, (a, b) in enumerate(zip(self.edges, self.edges[1:], strict=False)) if b > a]
+        edges = self.edges(ranges)
+        return [(int(r), _squeezed(values[edges[r] : edges[r + 1]])) for r in np.flatnonzero(np.diff(edges))]
 
-    def around(self, masks: dict[int, bytes]) -> None:
-        """Keep runs whose anchor is repeated; equal texts around anchors become one, with the smallest id."""
-        alive = np.zeros(len(self.anchors), bool)
+    def shipped(self, masks: dict[int, bytes], ranges: int) -> list[tuple[int, bytes]]:
+        """(range, surroundings of its repeated anchors in the order of the suffix array), and as range -1 what marked() needs."""
+        alive, edges = np.zeros(len(self.anchors), bool), self.edges(ranges)
         for r, mask in masks.items():
-            a, b = self.edges[r], self.edges[r + 1]
+            a, b = edges[r], edges[r + 1]
             alive[a:b] = np.unpackbits(np.frombuffer(zlib.decompress(mask), np.uint8), count=b - a).astype(bool)
-        self.runs = np.flatnonzero(alive[self.which])
-        first, size = self.first[self.runs], self.last[self.runs] - self.first[self.runs] + self.length
-        wide = 2 * self.length
-        padded = np.append(self.data, np.zeros(wide, np.uint8))
-        cells = np.lib.stride_tricks.sliding_window_view(padded, wide)[first]
-        cells[np.arange(wide) >= size[:, None]] = 0
-        rows = np.column_stack([cells, size.astype(np.uint8), self.anchors[self.which[self.runs]].byteswap().view(np.uint8).reshape(-1, 8)]) if len(first) else np.empty((0, wide + 9), np.uint8)
-        rows = np.ascontiguousarray(rows).view(f"V{wide + 9}").ravel()
-        self.texts_of, at, self.text_of = np.unique(rows, return_index=True, return_inverse=True)
-        self.text_id = np.full(len(at), 2**63 - 1)
-        np.minimum.at(self.text_id, self.text_of, self.ids[self.doc[self.runs]])
-        self.text_first, self.text_size = first[at], size[at]
-        anchor = self.which[self.runs[at]]
-        self.text_range = np.searchsorted(self.edges, anchor, "right") - 1
-
-    def shipped(self) -> list[tuple[int, bytes, bytes, bytes]]:
-        """(range, texts, their sizes, their smallest ids)."""
-        out = []
-        for r in np.unique(self.text_range):
-            k = np.flatnonzero(self.text_range == r)
-            data = b"".join(self.data[a : a + n].tobytes() for a, n in zip(self.text_first[k], self.text_size[k], strict=True))
-            out.append((int(r), zlib.compress(data, 1), zlib.compress(self.text_size[k].astype("u1").tobytes(), 1), zlib.compress(self.text_id[k].astype("<i8").tobytes(), 1)))
-        return out
-
-    def marked(self, marks: dict[int, bytes]) -> np.ndarray:
+        runs = np.flatnonzero(alive[self.which])
+        if not len(runs):
+            return []
+        length = self.length
+        first, last, place, doc = self.first[runs], self.last[runs], self.place[runs], self.doc[runs]
+        # stretches of text that windows of these runs cover, zeros between them
+        begins = np.append(True, (first[1:] > last[:-1] + length) | (doc[1:] != doc[:-1]))
+        stretch = np.cumsum(begins) - 1
+        at = first[begins]
+        size = last[np.append(np.flatnonzero(begins)[1:], len(runs)) - 1] + length - at
+        to = np.cumsum(size + length) - size - length
+        text = np.zeros(int(to[-1] + size[-1] + length), np.uint8)
+        spots = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        text[np.repeat(to, size) + spots] = self.data[np.repeat(at, size) + spots]
+        del spots
+        moved = (to - at)[stretch]
+        order, rank = suffix_array(text, length)
+        same = np.empty(len(text), np.int32)
+        same[order] = np.cumsum(common_prefixes(text, order, -(-2 * length // 8) * 8) < length)  # equal up to a window's length
+        del order
+        # equal surroundings: equal from the anchor on and from the first window on, with as many windows
+        before, many = place - first, last - first
+        key = (same[place + moved].astype(np.int64) * (len(text) + 1) + same[first + moved]) * 32 + before
+        _, one, of = np.unique(key * 32 + many, return_index=True, return_inverse=True)
+        least = np.full(len(one), 2**63 - 1)
+        np.minimum.at(least, of, self.ids[doc])
+        spot, back = (place + moved)[one], before[one]
+        where = np.searchsorted(edges, self.which[runs[one]], "right") - 1
+        by = np.lexsort((rank[spot], where))  # suffixes of a range, in order
+        number = np.empty(len(one), np.int32)
+        number[by] = np.arange(len(one))
+        spot, back, where, least_, many_ = spot[by], back[by], where[by], least[by], many[one][by]
+        ahead = text[np.minimum(spot[:, None] + np.arange(length), len(text) - 1)]
+        behind = text[np.maximum(spot[:, None] - 1 - np.arange(MOST_PLACES - 1), 0)]
+        behind[np.arange(MOST_PLACES - 1) >= back[:, None]] = 0
+        found, counts = np.unique(where, return_counts=True)
+        parts = np.append(0, np.cumsum(counts))
+        out = [(int(r), _kept(ahead[a:b], behind[a:b], back[a:b].astype(np.uint8), many_[a:b].astype(np.uint8), least_[a:b])) for r, a, b in zip(found, parts, parts[1:], strict=False)]
+        return [*out, (-1, _kept(first.astype(np.int32), before.astype(np.uint8), many.astype(np.uint8), number[of], self.ids[doc] > least[of], found, counts))]
+
+    def marked(self, plan: bytes | None, marks: dict[int, bytes]) -> np.ndarray:
         """Bytes that marked windows cover."""
         cover = np.zeros(len(self.data) + self.length + 1, np.int32)
-        for r in np.unique(self.text_range):
-            k = np.flatnonzero(self.text_range == r)
-            windows = self.text_size[k] - self.length + 1
-            bits = np.unpackbits(np.frombuffer(zlib.decompress(marks[int(r)]), np.uint8), count=int(windows.sum())).astype(bool) if int(r) in marks else np.zeros(int(windows.sum()), bool)
-            begin = np.zeros(len(self.text_size), np.int64)
-            begin[k] = np.cumsum(windows) - windows
-            mine = np.flatnonzero(self.text_range[self.text_of] == r)
-            runs, of = self.runs[mine], self.text_of[mine]
-            count = self.last[runs] - self.first[runs] + 1
-            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            start = np.repeat(self.first[runs], count) + inner
-            # a document with a larger id than the text's smallest holds nothing new there
-            hit = bits[np.repeat(begin[of], count) + inner] | np.repeat(self.ids[self.doc[runs]] > self.text_id[of], count)
-            np.add.at(cover, start[hit], 1)
-            np.add.at(cover, start[hit] + self.length, -1)
+        if plan is not None:
+            first, before, many, number, later, found, counts = _taken(plan)
+            bits = np.concatenate([np.frombuffer(zlib.decompress(marks[r]), "<u4") if r in marks else np.zeros(n, "<u4") for r, n in zip(found.tolist(), counts.tolist(), strict=True)])
+            bits = bits[number]
+            for k in range(MOST_PLACES):  # the k-th window of each run
+                on = (k <= many) & (later | ((bits >> np.maximum(before.astype(np.int64) - k, 0).astype(np.uint32)) & 1).astype(bool))
+                at = first[on].astype(np.int64) + k
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + self.length, -1)
         return np.cumsum(cover)[: len(self.data)] > 0
 
 
@@ -247,85 +288,145 @@ def repeated(lists: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(several[of], np.cumsum([len(x) for x in lists])[:-1])
 
 
-def marks_of(texts: list[np.ndarray], sizes: list[np.ndarray], ids: list[np.ndarray], length: int) -> list[np.ndarray]:
-    """For the texts of each chunk, which of their windows also start in a document with a smaller id."""
-    data = np.concatenate(texts)
-    size, owner = np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
-    windows = size - length + 1
-    ends = np.cumsum(size)
-    inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    start = np.repeat(ends - size, windows) + inner
-    order, _ = suffix_array(data, length)
-    lcp = common_prefixes(data, order, -(-2 * length // 8) * 8)
-    group = np.empty(len(data), np.int64)
-    group[order] = np.cumsum(lcp < length)
-    of = group[start]
-    who = np.repeat(owner, windows)
-    least = np.full(int(of.max(initial=0)) + 1, 2**63 - 1)
-    np.minimum.at(least, of, who)
-    return np.split(least[of] < who, np.cumsum([int((s.astype(np.int64) - length + 1).sum()) for s in sizes])[:-1])
+def merged(lists: list[np.ndarray]) -> np.ndarray:
+    """The order of the concatenated lists, each of which is sorted: pairs of lists are merged by binary search, level by level."""
+    starts = np.cumsum([0, *map(len, lists)])
+    level = [(x, np.arange(a, a + len(x))) for x, a in zip(lists, starts, strict=False)]
+    while len(level) > 1:
+        up = [level[-1]] if len(level) % 2 else []
+        for (x, i), (y, j) in zip(level[0:-1:2], level[1::2], strict=False):
+            at = np.searchsorted(x, y, "right") + np.arange(len(y))
+            first = np.ones(len(x) + len(y), bool)
+            first[at] = False
+            z, k = np.empty(len(first), x.dtype), np.empty(len(first), np.int64)
+            z[first], z[at], k[first], k[at] = x, y, i, j
+            up.append((z, k))
+        level = up
+    return level[0][1]
+
+
+def _shared(rows: np.ndarray) -> np.ndarray:
+    """Bytes that each row shares with the one before it; none for the first."""
+    out = np.zeros(len(rows), np.int32)
+    differ = rows[1:] != rows[:-1]
+    out[1:] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return out
+
+
+def marks_of(ahead: list[np.ndarray], behind: np.ndarray, back: np.ndarray, many: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """For the surroundings of each shard, ahead sorted within a shard: a bit for each place of the anchor whose window also starts in a document with a smaller id."""
+    every = np.concatenate(ahead)
+    out = np.zeros(len(every), "<u4")
+    order = merged([np.ascontiguousarray(x).view(f"S{length}").ravel() for x in ahead])
+    every = every[order]
+    share = _shared(every)
+    # slices end where the pieces of anchors differ
+    ends = np.append(np.flatnonzero(share < gram(length))[1:], len(every))
+    begin = 0
+    while begin < len(every):
+        end = int(ends[min(np.searchsorted(ends, begin + TOGETHER), len(ends) - 1)])
+        at, common = order[begin:end], share[begin:end].copy()
+        common[0] = 0
+        size = back[at].astype(np.int64)
+        rows = behind[at]
+        by = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+        also = _shared(rows[by])
+        ids, windows = owner[at], many[at].astype(np.int64)
+        for a in range(int(size.max()) + 1):
+            on = np.flatnonzero((a <= size) & (a >= size - windows))
+            if not len(on):
+                continue
+            left = np.empty(len(at), np.int64)
+            left[by] = np.cumsum(also < a) if a else 0
+            key = np.cumsum(common < length - a)[on] * (len(at) + 1) + left[on]
+            _, of = np.unique(key, return_inverse=True)
+            least = np.full(int(of.max()) + 1, 2**63 - 1)
+            np.minimum.at(least, of, ids[on])
+            out[at[on[least[of] < ids[on]]]] |= np.uint32(1 << a)
+        begin = end
+    return out
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): a row per row of docs; kept holds the remaining bytes."""
-    scratch = Scratch(docs.sparkSession, "suffix")
-    rows = docs.select(F.col(id_col).alias("id"), F.encode(whole(text_col), "UTF-8").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    chunks = max(1, -(-total // CHUNK_BYTES))
-    ranges = max(1, -(-total // SHARD_BYTES))
-    cuts = (np.arange(1, ranges, dtype=np.float64) / ranges * 2.0**58).astype(np.uint64)
-    key = F.coalesce(F.col("id").cast("long"), F.lit(NO_ID))
-    dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).alias("chunk"), F.col("id").isNull().alias("none"), key.alias("id"), "text")
-
-    def chunk_of(b: pd.DataFrame) -> Chunk:
-        return Chunk(b["text"].tolist(), b["id"].to_numpy(np.int64), length, cuts)
-
-    def sort_rows(b: pd.DataFrame) -> pd.DataFrame:
-        return b.assign(h=[zlib.crc32(t) for t in b["text"]]).sort_values(["id", "h"], kind="stable")
-
-    def lists(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(int(b["chunk"].iloc[0]), r, x) for r, x in chunk_of(sort_rows(b)).lists()], columns=["chunk", "range", "data"])
+    gram(length)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "suffix")
+    key, ranges = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), partitions(spark)
+    rows = docs.select(F.col(id_col).isNull().alias("none"), key.alias("id"), F.encode(whole(text_col), "UTF-8").alias("text"))
+
+    def chunk_of(data: bytes) -> Chunk:
+        texts, ids, none = _taken(data)
+        return Chunk(texts, ids, none, length)
+
+    def table(key: tuple, rows: list[tuple[int, bytes]]) -> pd.DataFrame:
+        give_back()
+        return pd.DataFrame([(int(key[0]), r, x) for r, x in rows], columns=["chunk", "range", "data"])
+
+    @tidy
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for b in itertools.chain(batches, [None]):
+            for row in () if b is None else zip(b["text"], b["id"], b["none"], strict=True):
+                held.append(row)
+                size += len(row[0])
+                if size >= CHUNK_BYTES:
+                    yield shard(part << 32 | made, held)
+                    made, held, size = made + 1, [], 0
+        if held:
+            yield shard(part << 32 | made, held)
+
+    def shard(number: int, rows: list[tuple[bytes, int, bool]]) -> pd.DataFrame:
+        data = _kept([t for t, _, _ in rows], np.array([i for _, i, _ in rows], np.int64), np.array([n for _, _, n in rows], bool))
+        return pd.DataFrame({"chunk": [number], "data": [data]})
+
+    @tidy
+    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for number, data in zip(b["chunk"], b["data"], strict=True):
+                chunk = chunk_of(data)
+                chunk.windows()
+                yield table((number,), chunk.lists(ranges))
 
     def merge(b: pd.DataFrame) -> pd.DataFrame:
         found = repeated([_unsqueezed(x) for x in b["data"]])
         return pd.DataFrame([(c, r, zlib.compress(np.packbits(m).tobytes(), 1)) for c, r, m in zip(b["chunk"], b["range"], found, strict=True) if m.any()], columns=["chunk", "range", "data"])
 
-    def masked(b: pd.DataFrame, replies: pd.DataFrame) -> Chunk:
-        chunk = chunk_of(sort_rows(b))
-        masks = replies[replies["kind"] == 0]
-        chunk.around(dict(zip(masks["range"], masks["data"], strict=True)))
-        return chunk
-
-    def ship(b: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        out = masked(b, replies).shipped() if len(b) else []
-        _given_back()
-        return pd.DataFrame([(int(b["chunk"].iloc[0]), *x) for x in out], columns=["chunk", "range", "texts", "sizes", "ids"])
+    def ship(key: tuple, b: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
+        if not len(b) or not len(masks):
+            return table(key, [])
+        chunk = chunk_of(b["data"].iloc[0])
+        chunk.windows()
+        return table(key, chunk.shipped(dict(zip(masks["range"], masks["data"], strict=True)), ranges))
 
     def mark(b: pd.DataFrame) -> pd.DataFrame:
-        parts = [[np.frombuffer(zlib.decompress(x), kind) for x in b[c]] for c, kind in (("texts", np.uint8), ("sizes", "u1"), ("ids", "<i8"))]
-        found = marks_of(*parts, length)
+        parts = [_taken(x) for x in b["data"]]
+        found = marks_of([p[0] for p in parts], *(np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4)), length)
+        found = np.split(found, np.cumsum([len(p[0]) for p in parts])[:-1])
         del parts
-        _given_back()
-        return pd.DataFrame([(c, r, zlib.compress(np.packbits(m).tobytes(), 1)) for c, r, m in zip(b["chunk"], b["range"], found, strict=True) if m.any()], columns=["chunk", "range", "data"])
+        give_back()
+        return pd.DataFrame([(c, r, zlib.compress(m.tobytes(), 1)) for c, r, m in zip(b["chunk"], b["range"], found, strict=True) if m.any()], columns=["chunk", "range", "data"])
 
-    def removed(b: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    def removed(key: tuple, b: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(b):
             return pd.DataFrame(columns=["id", "none", "n_bytes", "n_removed", "n_spans", "kept"])
-        chunk = masked(b, replies)
-        marks = replies[replies["kind"] == 1]
-        gone = chunk.marked(dict(zip(marks["range"], marks["data"], strict=True)))
+        chunk = chunk_of(b["data"].iloc[0])
+        answers = dict(zip(replies["range"].tolist(), replies["data"], strict=True))
+        gone = chunk.marked(answers.pop(-1, None), answers)
         out, at = [], 0
         for n in chunk.sizes.tolist():
             g = gone[at : at + n]
             out.append((n, int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), chunk.data[at : at + n][~g].tobytes()))
             at += n
-        _given_back()
-        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"]).assign(id=chunk.ids, none=sort_rows(b)["none"].to_numpy())
-
-    reply = "chunk long, range int, data binary"
-    masks = scratch.write(dealt.groupBy("chunk").applyInPandas(lists, reply).groupBy("range").applyInPandas(merge, reply), "masks")
-    masks = masks.withColumn("kind", F.lit(0))
-    shipped = dealt.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInPandas(ship, "chunk long, range int, texts binary, sizes binary, ids binary")
-    marks = scratch.write(shipped.groupBy("range").applyInPandas(mark, reply), "marks").withColumn("kind", F.lit(1))
-    out = dealt.groupBy("chunk").cogroup(masks.unionByName(marks).groupBy("chunk")).applyInPandas(removed, "id long, none boolean, n_bytes long, n_removed long, n_spans long, kept binary")
+        give_back()
+        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"]).assign(id=chunk.ids, none=chunk.none)
+
+    row = "chunk long, range int, data binary"
+    shards = scratch.write(rows.mapInPandas(dealt, "chunk long, data binary"), "shards")
+    masks = scratch.write(shards.mapInPandas(lists, row).groupBy("range").applyInPandas(merge, row), "masks")
+    # a row of range -1 is a shard's own plan
+    shipped = scratch.write(shards.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInPandas(ship, row), "shipped")
+    marks = scratch.write(shipped.where("range >= 0").groupBy("range").applyInPandas(mark, row), "marks")
+    replies = marks.unionByName(shipped.where("range < 0"))
+    out = shards.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(removed, "id long, none boolean, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.when(~F.col("none"), F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")

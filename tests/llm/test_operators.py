@@ -71,13 +71,49 @@ def in_order(rows):
 
 
 def test_suffix_equals_brute_force(spark, docs, monkeypatch):
-    monkeypatch.setattr(suffix, "CHUNK_BYTES", 8000)  # several chunks and ranges
-    monkeypatch.setattr(suffix, "SHARD_BYTES", 5000)
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 8000)  # several shards
+    monkeypatch.setattr(suffix, "TOGETHER", 40)  # and slices of a range
     got = [tuple(r) for r in suffix.dedup(frame(spark, docs)).collect()]
     assert in_order([(*r[:4], bytes(r[4])) for r in got]) == in_order(brute_suffix(docs))
     assert suffix.dedup(frame(spark, docs).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [8, 20, 33, 50, 90])
+def test_windows_of_any_length(length, monkeypatch):
+    """Shards and ranges by hand, against brute force."""
+    monkeypatch.setattr(suffix, "TOGETHER", 30)
+    r = random.Random(length)
+    parts = ["".join(r.choices("ab\0", k=r.randint(1, 3 * length))) for _ in range(12)]
+    rows = [(i % 37 - 1 if i % 5 else None, "".join(r.choices(parts, k=r.randint(0, 4)))) for i in range(60)]
+    rows = [(None if i is None else i, t) for i, t in rows]
+    ranges, chunks, lists = 3, [], {}
+    for k in range(4):
+        mine = rows[k::4]
+        c = suffix.Chunk([t.encode() for _, t in mine], np.array([suffix.NO_ID if i is None else i for i, _ in mine]), np.array([i is None for i, _ in mine]), length)
+        c.windows()
+        chunks.append(c)
+        for rng, x in c.lists(ranges):
+            lists.setdefault(rng, []).append((k, suffix._unsqueezed(x)))
+    masks = {k: {} for k in range(4)}
+    for rng, found in lists.items():
+        for (k, _), m in zip(found, suffix.repeated([x for _, x in found]), strict=True):
+            masks[k][rng] = zlib.compress(np.packbits(m).tobytes())
+    shipped = [dict(c.shipped(masks[k], ranges)) for k, c in enumerate(chunks)]
+    marks = {k: {} for k in range(4)}
+    for rng in range(ranges):
+        have = [(k, suffix._taken(s[rng])) for k, s in enumerate(shipped) if rng in s]
+        if have:
+            found = suffix.marks_of([p[0] for _, p in have], *(np.concatenate([p[j] for _, p in have]) for j in (1, 2, 3, 4)), length)
+            for (k, _), m in zip(have, np.split(found, np.cumsum([len(p[0]) for _, p in have])[:-1]), strict=True):
+                marks[k][rng] = zlib.compress(m.tobytes())
+    want = {(i, t): x for i, t, x in ((i, t, w[4]) for (i, t), w in zip(rows, brute_suffix(rows, length), strict=True))}
+    for k, c in enumerate(chunks):
+        gone, at = c.marked(shipped[k].get(-1), marks[k]), 0
+        for (i, t), n in zip(rows[k::4], c.sizes.tolist(), strict=True):
+            assert c.data[at : at + n][~gone[at : at + n]].tobytes() == want[i, t]
+            at += n
+
+
 def test_suffix_array_and_prefixes():
     r = random.Random(1)
     for alphabet in (b"ab", b"abcdef", b"a"):
