@@ -2,14 +2,17 @@
 
 A text no longer than ``leaf_chars`` is encoded where it stands. A longer text is cut into
 leaves, which are dealt over all tasks and encoded in parallel. Leaves end at pre-token
-boundaries where there are any. A pre-token that is itself too long (text without a place to
-split it) is halved anywhere, and where two halves meet, a window of tokens around the join is
+boundaries where there are any. A pre-token (text without a place to split it) of more than
+HALF_CHARS characters is halved anywhere, and its halves again, over tasks or, if it is no longer
+than a leaf, where it stands; where two halves meet, a window of tokens around the join is
 encoded again, growing until its first token agrees with the left half and its last token with
 the right half. A sequence of BPE tokens is the encoding of its text if and only if each pair of
 neighbours is, so agreement at both ends makes the whole sequence exact.
 
+Pre-tokens are told apart by their characters, never by hashes alone.
+
 Defined results: a null text counts as empty and has no tokens; a null id stays null; repeated
-rows give one result each; other columns of the input are not read.
+rows give one result each; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from lattica.llm.common import partitions, whole
+from lattica.llm.common import partitions, small_batches, tidy, whole
 
 #: Fixed value: the pre-token pattern of byte-level BPE (the tokenizers library's ByteLevel).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts up to so many characters are encoded whole.
 LEAF_CHARS = 1 << 15
+#: Pre-tokens of more characters are encoded as a tree of halves.
+HALF_CHARS = 24
 #: Pre-tokens up to so many characters are kept with their ids, at most so many of them a worker.
 KEPT_CHARS, KEPT_PIECES = 64, 200_000
 #: Rows of a result handed over at a time.
@@ -112,7 +117,7 @@ class ByteBpe:
             for m in regex.finditer(of, every):
                 self.kinds[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = kind
         self.kinds[ord(MARK)] = END
-        self.kept: dict[int, bytes] = {}
+        self.kept: dict[str, bytes] = {}
 
     def raw(self, data: bytes) -> np.ndarray:
         """Ids of bytes that belong to one pre-token."""
@@ -131,8 +136,8 @@ class ByteBpe:
 
     def long_piece(self, piece: str) -> np.ndarray:
         """A pre-token of any length, as a tree of halves."""
-        if len(piece) <= self.leaf_chars:
-            return self.raw(piece.encode())
+        if len(piece) <= HALF_CHARS:
+            return np.array(self.ranked.encode_ordinary(piece), "<u4") if self.ranked else self.raw(piece.encode())
         mid = len(piece) // 2
         return self.joined(self.long_piece(piece[:mid]), self.long_piece(piece[mid:]))
 
@@ -152,7 +157,7 @@ class ByteBpe:
 
     def _ids(self, piece: str) -> bytes:
         """Ids of one pre-token."""
-        if self.ranked and len(piece) <= self.leaf_chars:
+        if self.ranked and len(piece) <= HALF_CHARS:
             ids = self.ranked.encode_ordinary(piece)
             return struct.pack(f"<{len(ids)}I", *ids)
         return self.long_piece(piece).astype("<u4").tobytes()
@@ -221,15 +226,21 @@ class ByteBpe:
         which, distinct = pd.factorize(h)
         where = np.empty(len(distinct), np.int64)
         where[which[::-1]] = np.arange(len(which))[::-1]
+        # pieces of one hash that are not the same characters stand for themselves
+        first_at, sizes_at = at[where][which], (end - at)[where][which]
+        apart = codes != codes[np.minimum(np.arange(len(codes)) + np.repeat(first_at - at, end - at), len(codes) - 1)]
+        unlike = np.flatnonzero((sizes_at != end - at) | (np.add.reduceat(apart, at) > 0))
+        which[unlike] = len(where) + np.arange(len(unlike))
+        where = np.append(where, unlike)
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
         kept, found = self.kept, []
-        for s, e, key in zip(at[where].tolist(), end[where].tolist(), h[where].tolist(), strict=True):
-            if (ids := kept.get(key)) is None:
-                piece = joined[s:e]
+        for s, e in zip(at[where].tolist(), end[where].tolist(), strict=True):
+            piece = joined[s:e]
+            if (ids := kept.get(piece)) is None:
                 ids = b"" if piece == MARK else self._ids(piece)
                 if e - s <= KEPT_CHARS:
-                    kept[key] = ids
+                    kept[piece] = ids
             found.append(ids)
         size = np.array([len(x) // 4 for x in found], np.int64)
         offset = np.cumsum(size) - size
@@ -280,7 +291,7 @@ class ByteBpe:
         leaves += [(text[start:end], False, False), *alone]
 
     def leaf(self, text: str, raw: bool) -> bytes:
-        return self.raw(text.encode()).astype("<u4").tobytes() if raw else self.encode_batch([text])[0]
+        return self.long_piece(text).astype("<u4").tobytes() if raw else self.encode_batch([text])[0]
 
     def grown(self, leaves: list[tuple[np.ndarray, bool]]) -> np.ndarray:
         """Ids of a text from the ids of its leaves, joined pairwise level by level; the flag tells that a leaf continues the one before it."""
@@ -317,8 +328,10 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     ``then`` goes on in the worker that encoded: from ids of documents and their tokens to the
     columns id and ``schema``, any number of rows for a document.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), whole(text_col).alias("text"))  # pandas would turn long ids into floats beside a null
 
+    @tidy
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(tokenizer, leaf_chars)
         for b in batches:
@@ -326,6 +339,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 part = b.iloc[at : at + SLICE]
                 yield then(part["id"].tolist(), bpe.encode_batch(part["text"].tolist()))
 
+    @tidy
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(tokenizer, leaf_chars)
         for b in batches:
@@ -333,6 +347,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 for k, (leaf, raw, on) in enumerate(bpe.cut(text)):
                     yield pd.DataFrame({"id": [key], "h": [h], "part": [k], "leaf": [leaf], "raw": [raw], "continues": [on]})
 
+    @tidy
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(tokenizer, leaf_chars)
         for b in batches:
@@ -364,6 +379,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """encoded with a column decoded: the text of its ids, malformed bytes replaced as UTF-8 decoders do."""
 
+    @tidy
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with open(tokenizer, encoding="utf-8") as f:
             table = token_bytes(json.load(f))

@@ -50,6 +50,29 @@ def test_join_windows_grow():
         assert e.joined(e.raw(text[:at]), e.raw(text[at:])).tolist() == e.raw(text).tolist()
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_pieces_of_one_hash_keep_their_ids(library, n):
+    """Thue-Morse words and their complements collide under every polynomial hash modulo 2 ** 64."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    both = [word, word.translate(str.maketrans("ab", "ba")), f"x {word} y"]
+    e = bpe.ByteBpe(PATH)
+    for texts in (both, both[::-1]):
+        assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in e.encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_unsplit_text_goes_through_joins(spark, library, monkeypatch):
+    r = random.Random(6)
+    text = "so " + "".join(r.choices("abehtnrs", k=100_000)) + " 1"
+    ids = bpe.encode(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string"), PATH).collect()
+    want = library.encode(text, add_special_tokens=False).ids
+    assert [list(struct.unpack(f"<{len(x['ids']) // 4}I", x["ids"])) for x in ids] == [want, want]
+    e, seen = bpe.ByteBpe(PATH), []
+    joined = e.joined
+    monkeypatch.setattr(e, "joined", lambda a, b: seen.append(1) or joined(a, b))
+    e.encode_batch(["a" + "b" * bpe.HALF_CHARS])
+    assert seen
+
+
 def test_plan_fills_and_is_close_to_the_bound():
     r = random.Random(3)
     for capacity in (7, 64, 2048):
@@ -96,6 +119,8 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(df, PATH).count() == 0
     assert packing.pack(df, PATH).count() == 0
+    clash = spark.createDataFrame([(1, "a", 1, 2, 3)], "doc_id long, text string, ids int, piece int, rank int")
+    assert packing.pack(clash, PATH).count() == 1 and bpe.encode(clash, PATH).columns == ["doc_id", "ids"]
 
 
 def test_digest_is_of_little_endian_ids(spark):
