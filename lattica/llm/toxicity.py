@@ -7,34 +7,44 @@ falls below zero the step goes back, so that the classifier does not explain the
 the unlabelled text away. Labels of clean text serve the prior alone.
 
 Features of a text are the presence of its words and of their beginnings (3 to 6 letters),
-hashed; those that confirmed examples hold more often than unlabelled text are kept. Fitting
-uses a bounded sample (``max_toxic`` and ``max_unlabelled`` documents, those with the smallest
-hash of their id); scoring reads every whole text.
+hashed; those that confirmed examples hold more often than unlabelled text are kept. Confirmed
+examples are a bounded sample (``max_toxic`` documents, those with the smallest hash of their
+id). Unlabelled text is every document that is not held out, labels withheld, so that it is
+spread as all text is: its features are counted, and its part of the risk, gradient and curvature
+are summed at every Newton step, over all of it. Tasks sum their own first, so what comes to the
+driver is as large as the features.
 
 Defined results: null and empty texts have no features and score as the bias says; a null id is
-in no fold that is held out; without a confirmed example every score is 0; a document with
-several labels counts as toxic if one of them does; equal rows score alike; other columns pass
-through untouched.
+in no fold that is held out and has no label; without a confirmed example, or a feature that
+tells them, every score is 0; it makes no difference whether all documents have labels or few; a
+document with several labels counts as toxic if one of them does; of rows with one id one is a confirmed example; equal rows score
+alike; empty tables give no rows; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import whole
+from lattica.llm.common import Scratch, small_batches, tidy, whole
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS, BEGINNINGS = 20, (3, 4, 5, 6)
-#: Documents to fit on, features to keep, least number of confirmed examples with a feature, deviations that are no chance.
-MAX_TOXIC, MAX_UNLABELLED, FEATURES, LEAST, SURE = 2000, 6000, 1024, 5, 3.5
+#: Confirmed documents to fit on, features to keep, least number of confirmed examples with a feature, deviations that are no chance.
+MAX_TOXIC, FEATURES, LEAST, SURE = 2000, 384, 5, 3.5
+#: Counters are sent in so many blocks, sums of tasks meet in so many parts.
+BLOCKS, PARTS = 64, 16
+#: Newton steps at most, and the weight of the squares of weights.
+STEPS, DECAY = 24, 1e-2
 THRESHOLD = 0.7
 KEPT_WORDS = 300_000
 
@@ -72,92 +82,183 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise prior * R+(P) + max(0, R-(U) - prior * R-(P)) with the logistic loss; rows are feature vectors."""
-    slope = lambda each, rows: np.append(each.astype(rows.dtype) @ rows, each.sum()) / max(len(rows), 1)
-    w = np.zeros(positive.shape[1] + 1, positive.dtype)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    w[-1] = np.log(prior / (1 - prior))
-    for t in range(1, steps + 1):
-        at_p, at_u = positive @ w[:-1] + w[-1], unlabelled @ w[:-1] + w[-1]
-        as_clean = np.logaddexp(0, at_u).sum() / max(len(at_u), 1) - prior * np.logaddexp(0, at_p).mean()
-        sig_p, sig_u = 1 / (1 + np.exp(-at_p)), 1 / (1 + np.exp(-at_u))
-        clean = slope(sig_u, unlabelled) - prior * slope(sig_p, positive)
-        grad = prior * slope(sig_p - 1, positive) + clean if as_clean >= 0 else -clean
-        grad[:-1] += decay * w[:-1]
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def _dense(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), len(chosen)), np.float32)
-    for x, row in zip(out, rows, strict=True):
-        at = np.searchsorted(chosen, row)
-        at = np.minimum(at, len(chosen) - 1)
-        x[at[chosen[at] == row]] = 1
+def _rows(found: list[np.ndarray], width: int) -> np.ndarray:
+    """Presence of features, and a column of ones."""
+    out = np.zeros((len(found), width + 1))
+    for x, row in zip(out, found, strict=True):
+        x[row] = 1
+    out[:, -1] = 1
     return out
 
 
-def _count(rows: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(1 << BITS, np.int32)
-    for row in rows:
-        out[row] += 1
-    return out
+def part_of_risk(x: np.ndarray, n: np.ndarray, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Of n documents for each row: their number, the loss of calling them clean, its gradient and its curvature."""
+    z = x @ w
+    s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    return float(n.sum()), float(n @ np.logaddexp(0, z)), (n * s) @ x, (x * (n * s * (1 - s))[:, None]).T @ x
+
+
+def nn_pu(positive: np.ndarray, unlabelled: Callable[[np.ndarray], tuple[float, float, np.ndarray, np.ndarray]], prior: float, steps: int = STEPS, decay: float = DECAY) -> np.ndarray:
+    """Weights (the bias last) that minimise prior * R+(P) + max(0, R-(U) - prior * R-(P)) with the logistic loss.
+
+    With that loss prior * (R+ - R-) of the positives is linear, so while the estimate of the clean
+    risk is not negative the whole is convex and Newton steps settle it; a step that would take the
+    estimate below zero is halved until it does not.
+    """
+    w = np.zeros(positive.shape[1])
+    w[-1] = np.log(prior / (1 - prior))
+    ridge = np.full(len(w), decay)
+    ridge[-1] = 0
+    mean = positive.mean(0)
+
+    def at(w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        n, loss, slope, bend = unlabelled(w)
+        clean = loss / n - prior * np.logaddexp(0, positive @ w).mean()
+        return clean, loss / n - prior * float(mean @ w) + float(ridge @ w**2) / 2, slope / n - prior * mean + ridge * w, bend / n + np.diag(ridge + 1e-9)
+
+    _, risk, slope, bend = at(w)
+    step = np.linalg.solve(bend, slope)
+    for _ in range(steps):
+        clean, new_risk, slope, bend = at(w - step)
+        if clean < 0 or new_risk > risk:
+            step = step / 2
+            if np.abs(step).max() < 1e-4:
+                break
+            continue
+        done = risk - new_risk < 1e-6
+        w, risk = w - step, new_risk
+        if done:
+            break
+        step = np.linalg.solve(bend, slope)
+    return w
 
 
 def held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
-    """Learn from rows that are not held out; None without a confirmed example."""
+def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Documents, and documents with each feature, of the unlabelled and the confirmed rows."""
+
+    @tidy
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = {c: np.zeros((1 << BITS) + BLOCKS, np.int32) for c in (False, True)}
+        for b in batches:
+            for c, x in zip(b["confirmed"], _hashed(b["text"]), strict=True):
+                counts[c][x] += 1
+                counts[c][-1] += 1
+        for c, x in counts.items():
+            if x[-1]:
+                yield pd.DataFrame({"confirmed": c, "block": range(BLOCKS), "counts": [zlib.compress(y.tobytes(), 1) for y in np.split(x, BLOCKS)]})
+
+    def summed(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((1 << BITS) // BLOCKS + 1, np.int64)
+        for b in batches:
+            for x in b["counts"]:
+                total += np.frombuffer(zlib.decompress(x), np.int32)
+        yield pd.DataFrame({"confirmed": [key[0]], "block": [key[1]], "counts": [total.tobytes()]})
+
+    kind = "confirmed boolean, block int, counts binary"
+    out = np.zeros((2, BLOCKS, (1 << BITS) // BLOCKS + 1), np.int64)
+    for r in rows.mapInPandas(counted, kind).groupBy("confirmed", "block").applyInPandas(summed, kind).collect():  # as many numbers as features
+        out[int(r["confirmed"]), r["block"]] = np.frombuffer(r["counts"], np.int64)
+    out = out.reshape(2, -1)
+    return out[:, -1], out[:, : 1 << BITS]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC) -> Model | None:
+    """Learn from rows that are not held out; None without a confirmed example or without features of them."""
+    spark = small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     share = known.agg(F.avg("y").alias("prior"), F.sum("y").alias("n")).first()
     if not share["n"]:
         return None
     prior = min(max(float(share["prior"]), 1e-4), 0.9)
     rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    order = F.xxhash64("id")
-    toxic = rows.join(known.where("y = 1").orderBy(order, "id").limit(max_toxic).select("id"), "id", "left_semi")
-    # ids first, so that only the sample's texts move
-    free = rows.select("id").join(known, "id", "left_anti").orderBy(order, "id").limit(max_unlabelled)
-    free = rows.join(free, "id", "left_semi")
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"confirmed": b["confirmed"], "found": [x.tobytes() for x in _hashed(b["text"])]})
-
-    both = toxic.select(F.lit(True).alias("confirmed"), "text").unionByName(free.select(F.lit(False).alias("confirmed"), "text"))
-    positive: list[np.ndarray] = []
-    unlabelled: list[np.ndarray] = []
-    for row in both.mapInPandas(hashed, "confirmed boolean, found binary").collect():
-        (positive if row["confirmed"] else unlabelled).append(np.frombuffer(row["found"], "<i4"))
-    if not positive:
+    toxic = known.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(max_toxic).select("id")
+    toxic = rows.join(F.broadcast(toxic), "id", "left_semi").dropDuplicates(["id"])
+    both = toxic.select(F.lit(True).alias("confirmed"), "text").unionByName(rows.select(F.lit(False).alias("confirmed"), "text"))
+    (n_free, n_toxic), (free_with, toxic_with) = _counted(both)
+    if not n_toxic:
         return None
-    n_p, n_u = _count(positive), _count(unlabelled)
-    share_p, share_u = n_p / len(positive), (n_u + 1) / (len(unlabelled) + 2)
     # how many deviations the confirmed share lies above the unlabelled one
-    worth = (share_p - share_u) / np.sqrt(share_u * (1 - share_u) * (1 / len(positive) + 1 / (len(unlabelled) + 1)))
-    worth = np.where((n_p >= min(LEAST, len(positive))) & (share_p > 1.5 * share_u) & (worth > SURE), worth, 0)
+    share_p, share_u = toxic_with / n_toxic, (free_with + 1) / (n_free + 2)
+    worth = (share_p - share_u) / np.sqrt(share_u * (1 - share_u) * (1 / n_toxic + 1 / (n_free + 1)))
+    worth = np.where((toxic_with >= min(LEAST, n_toxic)) & (share_p > 1.5 * share_u) & (worth > SURE), worth, 0)
     chosen = np.sort(np.argsort(-worth, kind="stable")[: min(FEATURES, int((worth > 0).sum()))])
     if not len(chosen):
         return None
-    p, u = _dense(positive, chosen), _dense(unlabelled, chosen)
-    weights, bias = nn_pu(p, u, prior)
-    at_p, at_u = np.sort(p @ weights + bias), np.sort(u @ weights + bias)
+    width = len(chosen)
+
+    @tidy
+    def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found: dict[tuple[bool, bytes], int] = {}
+            for c, x in zip(b["confirmed"], _hashed(b["text"]), strict=True):
+                at = np.minimum(np.searchsorted(chosen, x), width - 1)
+                key = bool(c), np.unique(at[chosen[at] == x]).astype("<u2").tobytes()
+                found[key] = found.get(key, 0) + 1
+            yield pd.DataFrame([(c, k, n) for (c, k), n in found.items()], columns=["confirmed", "found", "n"])
+
+    scratch = Scratch(spark, "toxicity")
+    kind = "confirmed boolean, found binary, n long"
+    every = scratch.write(both.mapInPandas(patterns, kind).groupBy("confirmed", "found").agg(F.sum("n").alias("n")), "patterns")
+    taken = lambda x: np.frombuffer(x, "<u2").astype(np.int64)
+    sampled = every.where("confirmed").collect()  # of max_toxic documents
+    p = _rows([taken(r["found"]) for r in sampled for _ in range(r["n"])], width)
+
+    def over_free(measure: Callable[[np.ndarray, np.ndarray], tuple]) -> tuple:
+        """The sums of a measure over all unlabelled documents."""
+
+        @tidy
+        def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for b in batches:
+                total = added(total, measure(_rows([taken(x) for x in b["found"]], width), b["n"].to_numpy(float)))
+            if total is not None:
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId() % PARTS], "data": [zlib.compress(pickle.dumps(total), 1)]})
+
+        def added(total: tuple | None, x: tuple) -> tuple:
+            return x if total is None else tuple(p + q for p, q in zip(total, x, strict=True))
+
+        def met(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for b in batches:
+                for x in b["data"]:
+                    total = added(total, pickle.loads(zlib.decompress(x)))
+            yield pd.DataFrame({"part": [key[0]], "data": [zlib.compress(pickle.dumps(total), 1)]})
+
+        out = None
+        kind = "part int, data binary"
+        for r in every.where("not confirmed").select("found", "n").mapInPandas(some, kind).groupBy("part").applyInPandas(met, kind).collect():  # PARTS sums
+            out = added(out, pickle.loads(zlib.decompress(r["data"])))
+        return out
+
+    w = nn_pu(p, lambda w: over_free(lambda x, n: part_of_risk(x, n, w)), prior)
     # the cut with the best estimate of F1: what is found of the toxic, against what is found in all
-    cuts = np.unique(np.concatenate([at_p, at_u]))
+    at_p = np.sort(p @ w)
+    cuts = np.unique(at_p)
+
+    def spread(x: np.ndarray, n: np.ndarray) -> tuple:
+        z = x @ w
+        return n.sum(), n @ z, n @ z**2, np.bincount(np.searchsorted(cuts, z, "right"), n, len(cuts) + 1)
+
+    n, sum_z, sum_zz, below = over_free(spread)
     recall = 1 - np.searchsorted(at_p, cuts) / len(at_p)
-    taken = 1 - np.searchsorted(at_u, cuts) / max(len(at_u), 1)
-    f1 = 2 * prior * recall / (prior + taken)
-    best = int(np.argmax(f1))
-    below = cuts[best - 1] if best else cuts[best] - 1
-    return Model(chosen, weights, bias, float((cuts[best] + below) / 2), float(4 / max(np.std(at_u), 1e-6)))
+    taken_u = 1 - np.cumsum(below)[:-1] / n
+    best = int(np.argmax(2 * prior * recall / (prior + taken_u)))
+    # half way from the best cut to the unlabelled margins below it
+    bins = np.linspace(cuts[best - 1] if best else cuts[best] - 1, cuts[best], 65)
+    (held,) = over_free(lambda x, n: (np.histogram(x @ w, bins, weights=n)[0],))
+    lower = bins[np.flatnonzero(held)[-1] + 1 if held.any() else 0]
+    scratch.drop("patterns")
+    deviation = np.sqrt(max(sum_zz / n - (sum_z / n) ** 2, 0))
+    return Model(chosen, w[:-1], float(w[-1]), float((cuts[best] + lower) / 2), float(4 / max(deviation, 1e-6)))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:
     """The score of each whole text, 0 to 1."""
+    small_batches(docs.sparkSession)
     if model is None:
         return F.lit(0.0)
 
