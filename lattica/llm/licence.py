@@ -32,9 +32,11 @@ SPELLINGS = {
     "organise": "organize", "percent": "per cent", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling",
     "sub license": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "wilfull",
 }
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that states a copyright: the word with a sign, year, placeholder or "by" behind it, or a year in the line; a licence's own line that happens to begin with the word has none.
+_STATED = r"(copyright[ \t:]*(\(c\)|©|<|\[|\{|[0-9]|by[ \t])|copyright[ \t][^\n]*[0-9]{4}|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT = rf"(^|\n)[ \t]*{_STATED}"
 #: Such lines behind comment marks too.
-MARKED = r"(^|\n)[^\p{L}\p{N}\n]*(portions[ \t]+)?(copyright|\(c\)|©|all rights reserved)[^\n]*"
+MARKED = rf"(^|\n)[^\p{{L}}\p{{N}}\n]*(portions[ \t]+)?{_STATED}"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
