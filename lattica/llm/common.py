@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes up to which a list of keys is broadcast, with what a row of it takes in memory.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 128
 _BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
@@ -90,6 +92,11 @@ class Scratch:
         self._delete(f"{self.root}/{name}")
 
 
+def near(df: DataFrame) -> DataFrame:
+    """A written list of keys, to be broadcast if it is small enough, else to be shuffled; ROW_BYTES is what a row of it takes in memory, at most."""
+    return F.broadcast(df) if df.count() * ROW_BYTES <= BROADCAST_BYTES else df.hint("shuffle_merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

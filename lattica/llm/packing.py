@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe
-from lattica.llm.common import Scratch
+from lattica.llm.common import Scratch, tidy
 
 CAPACITY, END_ID = 2048, 0
 #: Rows of a bucket of one length, about, and the most buckets.
@@ -105,6 +105,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(id_col, "piece", "ids_crc32"))
     ranked = dealt.withColumn("within", within).join(firsts.hint("shuffle_merge"), ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("within") - 1).drop("bucket", "within", "first")
 
+    @tidy
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = slots[np.searchsorted(starts, (b["length"].to_numpy(np.int64) << 46) + b["rank"].to_numpy(np.int64), "right") - 1]

@@ -9,7 +9,8 @@ expression, so every text is read, searched, scored and redacted inside Spark's
 
 Places count code points, end exclusive. Defined results: null and empty texts have no spans
 (redacting keeps null null); a null id passes through; equal rows are treated alike; other
-columns pass through, whatever they are called; an empty table gives no rows.
+columns pass through, whatever they are called (find() raises an error if one is named _base or
+_spans, as its result would have two); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -123,8 +124,9 @@ def _features(text: Column, kind: Column, x: Column) -> dict[str, Column]:
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _base and _proposed: arrays of (start, kind number, end, kind, value[, features])."""
-    text = whole(text_col)
+    """(row, _base, _proposed): row holds the columns of docs, the others are arrays of (start, kind number, end, kind, value[, features])."""
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole(text_col).alias("text"))
+    text = F.col("text")
     some_digits = text.rlike("[0-9]")
     gates = {"email": F.instr(text, "@") > 0, "phone": F.instr(text, "+") > 0}
     steps = {f"_h_{k}": _matches(text, p, gates.get(k, some_digits)) for k, p in BASE.items()}
@@ -135,8 +137,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base = F.concat(*[F.transform(F.filter(f"_h_{k}_at", partial(_valid, k)), partial(row, k)) for k in BASE])
     described = lambda k, x: F.struct(*[row(k, x)[f].alias(f) for f in ("start", "n", "end", "kind")], *[c.cast("double").alias(f) for f, c in _features(text, F.lit(KINDS.index(k)), x).items()])
     some = F.concat(*[F.transform(f"_g_{k}_at", partial(described, k)) for k in GENERATORS])
-    out = out.withColumns({"_base": F.array_sort(base), "_proposed": some})
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_base", "_proposed")
+    return out.withColumns({"_base": F.array_sort(base), "_proposed": some}).select("row", "_base", "_proposed")
 
 
 @dataclass(frozen=True)
@@ -234,7 +235,7 @@ def _examples(n: int, seed: int = 7) -> list[tuple[str, int]]:
 def train(spark: SparkSession, examples: int = EXAMPLES, precision: float = PRECISION) -> Trees:
     """Trees and thresholds from made examples: half to learn, half to calibrate."""
     made = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(_examples(examples))], "i int, text string, y int").coalesce(1)
-    rows = candidates(made).select("i", "y", F.explode("_proposed").alias("x")).select("i", "y", "x.*").orderBy("i", "start", "n").collect()
+    rows = candidates(made).select("row.i", "row.y", F.explode("_proposed").alias("x")).select("i", "y", "x.*").orderBy("i", "start", "n").collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows])
     y = np.array([r["y"] * (r["n"] == r["i"] % len(KINDS)) for r in rows], float)  # an example speaks for its own kind alone
     half = np.array([r["i"] % 2 == 0 for r in rows])
@@ -256,6 +257,13 @@ def train(spark: SparkSession, examples: int = EXAMPLES, precision: float = PREC
 
 def find(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
     """docs with _base and _spans: arrays of (start, kind number, end, kind), sorted; _spans holds _base and what the trees select beside it."""
+    if {"_base", "_spans"} & set(docs.columns):
+        raise ValueError("_base and _spans are columns of the input")
+    return _found(docs, trees, text_col).select("row.*", "_base", "_spans")
+
+
+def _found(docs: DataFrame, trees: Trees, text_col: str) -> DataFrame:
+    """(row, _base, _spans)."""
     out = candidates(docs, text_col)
     apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
     scored = F.transform("_proposed", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), x["end"].alias("end"), x["kind"].alias("kind"), trees.score(x).alias("score"), trees.cut(x).alias("cut")))
@@ -273,7 +281,7 @@ def listed(spans: str) -> Column:
 def redact(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; spans that overlap become one."""
     kind = "struct<at:int,out:string>"
-    text = F.col(text_col)
+    text = F.col("row")[text_col]
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
@@ -281,5 +289,5 @@ def redact(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], kept, F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out")).cast(kind)
 
     made = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    out = find(docs, trees, text_col)
-    return out.select(*[F.when(F.size("_spans") > 0, made).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    out = _found(docs, trees, text_col)
+    return out.select(*[(F.when(F.size("_spans") > 0, made).otherwise(text) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

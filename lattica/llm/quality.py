@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import whole
+from lattica.llm.common import small_batches, tidy, whole
 
 SYMBOLS = b"#*$%&|<>"
 #: Base rules: fewest words, largest share of words in repeated three-word windows.
@@ -69,8 +69,10 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_lines, n_removed_words), a row per row of docs."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(host_col).cast("string").alias("host"), whole(text_col).alias("text"))
 
+    @tidy
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = pd.DataFrame([base_counts(t) for t in b["text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")
@@ -78,6 +80,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
             out.insert(1, "h", [xxhash.xxh3_128_digest(t) for t in b["text"]])
             yield out
 
+    @tidy
     def lined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []

@@ -9,13 +9,15 @@ span's words, in lower case, are hashed. Spans are joined over the whole corpus;
 equal words the first, by document and place, stays, and sentences that any other of them covers
 are removed; the first place of a sentence always stays. Of a repeated passage a broken sentence
 at its edges stays, and a lone whole sentence of under ``long_words`` words between two such.
-First places come from a partial aggregate and only repeated spans are joined back, so a span
-that a third of all rows hold is summed by parts.
+First places come from a partial aggregate, are written, and only those of repeated spans are
+joined back, from tables on both sides, so that Spark splits the part of a span that a third of
+all rows hold; a list of bounded size is broadcast instead.
 
 Defined results: null and empty texts have no sentences and stay; a text shorter than a span
 stays; spans that repeat within one text count too; rows equal in id and text count as one
 document; a null id is a document before all others; an empty table gives no rows; other
-columns pass through, whatever they are called.
+columns pass through, whatever they are called (with ``counts``, columns named _sentences or
+_removed raise an error, as the result would have two of them).
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import whole
+from lattica.llm.common import Scratch, near, tidy, whole
 
 #: A run of several sentences is a span whatever its words; a single sentence is one from LONG_WORDS words.
 LEAST_SENTENCES, LEAST_WORDS, LONG_WORDS = 2, 0, 50
@@ -78,10 +80,13 @@ def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "".join(p for p, g in zip(parts, gone, strict=True) if not g), len(parts), int(gone.sum())
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """docs with repeated sentences removed from the text, and columns _sentences and _removed with their numbers."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS, counts: bool = True) -> DataFrame:
+    """docs with repeated sentences removed from the text, and with counts columns _sentences and _removed with their numbers."""
+    if counts and {"_sentences", "_removed"} & set(docs.columns):
+        raise ValueError("_sentences and _removed are columns of the input; ask for no counts")
     order = docs.schema[id_col].dataType
 
+    @tidy
     def spanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [(key, h, *s) for key, h, text in zip(b["id"], b["h"], b["text"], strict=True) for s in spans(text, least_sentences, least_words, long_words)]
@@ -91,14 +96,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     found = rows.mapInPandas(spanned, "id string, h long, k int, n int, words binary").withColumn("id", F.col("id").cast(order))
     place = F.struct("id", "h", "k")
     first = found.groupBy("words").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("words").alias("its_words"), "first")
-    again = found.join(first.hint("shuffle_merge"), F.col("words") == F.col("its_words")).where(~place.eqNullSafe(F.col("first")))
-    covered = again.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("k", "n")).alias("_covered"))
-    joined = docs.withColumn("_h1", F.xxhash64(whole(text_col))).join(covered, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_h")), "left")
+    first = Scratch(docs.sparkSession, "spans").write(first, "first")
+    again = found.join(near(first), F.col("words") == F.col("its_words")).where(~place.eqNullSafe(F.col("first")))
+    covered = again.groupBy(F.col("id").alias("its_id"), F.col("h").alias("its_h")).agg(F.collect_set(F.struct("k", "n")).alias("covered"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(whole(text_col)).alias("h"))
+    joined = keyed.join(covered, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("h") == F.col("its_h")), "left")
 
     @F.pandas_udf("text string, sentences int, removed int")
     def cleaned(text: pd.Series, places: pd.Series) -> pd.DataFrame:
         rows = [without(t, [(c["k"], c["n"]) for c in p] if p is not None else []) if t is not None else (None, 0, 0) for t, p in zip(text, places, strict=True)]
         return pd.DataFrame(rows, columns=["text", "sentences", "removed"])
 
-    joined = joined.withColumn("_cleaned", cleaned(F.col(text_col), F.col("_covered")))
-    return joined.select(*[F.col("_cleaned.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col("_cleaned.sentences").alias("_sentences"), F.col("_cleaned.removed").alias("_removed"))
+    joined = joined.select("row", cleaned(F.col("row")[text_col], F.col("covered")).alias("cleaned"))
+    more = [F.col("cleaned.sentences").alias("_sentences"), F.col("cleaned.removed").alias("_removed")] if counts else []
+    return joined.select(*[(F.col("cleaned.text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns], *more)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch
+from lattica.llm.common import Scratch, tidy
 
 #: Vectors of a shard, queries of a block, vectors scored at a time, terms probed at a time.
 SHARD, QUERIES, BLOCK, PROBE = 4096, 1024, 1024, 8
@@ -101,6 +101,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     meets = of_block.withColumn("its_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     pairs = meets.join(of_shard.hint("shuffle_merge"), F.col("its_shard") == F.col("shard"))
 
+    @tidy
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():

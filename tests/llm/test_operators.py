@@ -181,6 +181,33 @@ def test_chain_of_near_copies(spark):
     assert made == {i: c for i, _, c in brute_jaccard(rows)}
 
 
+def test_three_hundred_revisions(spark):
+    """Each text is near its neighbours alone; all are one component, whatever their order, beside a short chain of their own."""
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(300):
+        words = list(words)
+        words[(7 * k) % 80] = f"v{k}"
+        rows.append((r.random(), " ".join(words)))
+    rows = [(i, t, "en", "s", 1) for i, (_, t) in enumerate(sorted(rows))] + [(300, "one two three four five six", "en", "s", 1)]
+    made = {x.doc_id: x.component_id for x in jaccard.classes(spark.createDataFrame(rows, DOC)).collect()}
+    assert made == {i: c for i, _, c in brute_jaccard(rows)}
+    assert set(made.values()) == {0, 300}
+
+
+def test_clashing_columns_keep_their_values(spark, docs, trees):
+    names = ["_id", "_h", "_hash", "_h_email", "_base", "_spans", "_sentences", "_removed", "row", "words", "hash", "key", "covered"]
+    df = spark.createDataFrame(docs[:8], DOC).withColumns({c: F.lit(f"its {c}") for c in names})
+    for made in (spans.dedup(df, counts=False), pii.redact(df, trees), jaccard.one_of_each(df)):
+        assert made.columns == df.columns
+        assert all(r[c] == f"its {c}" for r in made.collect() for c in names)
+    with pytest.raises(ValueError):
+        spans.dedup(df)
+    with pytest.raises(ValueError):
+        pii.find(df, trees)
+
+
 def test_components_of_a_long_shuffled_chain(spark):
     """A chain whose nodes have random names, and a short one beside it, are one component each."""
     names = random.Random(5).sample(range(10**6), 503)
@@ -356,6 +383,12 @@ def test_full_licences_and_comments(spark):
     assert [(r.doc_id, r.licence) for r in licence.scan(df).collect() if r.doc_id != r.licence] == []
 
 
+def test_licence_lines_that_begin_with_the_word(spark):
+    text = next(t for n, t in licence.KNOWN if n == "ISC").replace("the above copyright notice", "the above\ncopyright notice").replace("<year> <holder>", "2020, A. Person")
+    df = spark.createDataFrame([(1, text), (2, "Copyright A. Person 1999\n" + licence.KNOWN[0][1])], "doc_id long, text string")
+    assert [r.licence for r in licence.scan(df).orderBy("doc_id").collect()] == ["ISC", "MIT"]
+
+
 def test_topk_equals_brute_force(spark):
     r = random.Random(4)
     rows = [(i, [r.choice([0.5, -0.25, r.uniform(-1, 1)]) for _ in range(6)]) for i in range(300)]
@@ -393,6 +426,10 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     kept = toxicity.keep_clean(df, model)
     assert kept.columns == df.columns and kept.where("doc_id = 2000").count() == 1
     assert toxicity.fit(df, lab.limit(0)) is None
+    every = df.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 7 == 0).cast("int").alias("toxic"))
+    model = toxicity.fit(df, every)  # no row without a label
+    found = df.select((F.col("doc_id") % 7 == 0).alias("y"), toxicity.score(df, model).alias("s")).where("y").agg(F.avg((F.col("s") >= toxicity.THRESHOLD).cast("int"))).first()[0]
+    assert found > 0.9
     assert df.select(toxicity.score(df, None).alias("s")).agg(F.max("s")).first()[0] == 0.0
 
 
