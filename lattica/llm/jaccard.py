@@ -2,47 +2,59 @@
 
 A document's set holds the hashes of its word shingles. Equal sets fall into one class, and only
 classes are compared. Similar classes are grouped: of those that share a minimum under one of a
-few hash functions each is compared with one centre, and what such links join is a group. Then
-the token-group matrix holds, for each token of a class's prefix, the groups that have it. Two
-sets at or above the threshold must share a token of their prefixes (the rarest tokens first,
-as a sketch of fixed size counts them over the whole corpus; any order that all sets share is
-exact), and for sets of about one size many of them. A class queries the other groups that share
-as many of its prefix tokens as their sizes ask for; a group's members are laid out in blocks with the union of their tokens, and a block is opened only if its union holds as many of
-the query's tokens as the threshold asks of the query. All links are verified on whole sets.
-
-A large group of copies is one group from its links to centres, so its pairs are never listed;
-nothing is capped.
+few hash functions and are of about one size, each is compared with one centre (the one whose
+tokens are the most common, so the least changed of many copies), and what such links join is a
+group. Then the token-group matrix holds, for each token of a class's prefix, the groups that
+have it, with bounds on their members: sizes, and the largest set that a member can still link
+with if that token is the first that both have. A class asks the groups of sets of its size or
+more that these bounds leave; a group's members are laid out in blocks with the union of their
+tokens, and a block is opened only if its union holds as many of the query's tokens as the
+threshold asks of the query. All links are verified on whole sets.
+
+Tokens are ordered by how often they are (as a sketch of fixed size counts them over the whole
+corpus; any order that all sets share is exact), then by value. If the first common token of two
+sets stands at place p of the one and q of the other, they share at most as many tokens as follow
+there, so each has a reach: the largest set that it can link with from that place. A copy with many
+changes has them first, and cannot reach sets of its own size through the tokens that all copies
+share: a large group of copies makes no rows for its pairs, linked or not. Nothing is capped.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing (their
 component is their own id); texts of fewer words than a shingle have one token; rows with equal
 sets are one class, whatever their ids; a component's id is its smallest id, null only if all
-are; repeated rows give a row each; other columns are not read; an empty table gives no rows.
+are; repeated rows give a row each; other columns are not read (one_of_each hands them on,
+whatever they are called); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, whole
+from lattica.llm.common import Scratch, near, tidy, whole
 from lattica.llm.graph import components
 
 WORDS, PERCENT = 5, 80
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
-#: Hash functions whose minima propose centres; counters of the sketch, and its blocks.
-MINIMA, COUNTERS, BLOCKS = 2, 1 << 20, 64
-#: Members of a block of a group; bytes of ids up to which a side is broadcast.
-BLOCK, BROADCAST_BYTES = 32, 32 << 20
+#: Hash functions whose minima propose centres, and the ratio of sizes that one centre serves.
+MINIMA, ALIKE = 2, 1.3
+#: Counters of the sketch, and its blocks.
+COUNTERS, BLOCKS = 1 << 22, 64
+#: Members of a block of a group.
+BLOCK = 32
 #: Characters of the texts that are hashed together.
 SOME_CHARS = 1 << 20
 KEPT_WORDS = 300_000
+#: Rows handed over at a time.
+SLICE = 512
+MASK = np.uint64((1 << 48) - 1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -115,79 +127,64 @@ def least(n: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
     return -(-n * percent // 100)
 
 
-def _fewest(n: Column, low: Column, high: Column, percent: int) -> Column:
-    """Tokens that prefixes must share if a set of n is to link with one of low to high tokens.
-
-    Of two sets let one's prefix end first. What they share up to there lies in both prefixes, and
-    beyond it are least(its size) - 1 of its tokens. So the prefixes share at least what the
-    threshold asks of the pair less that, and the larger set's part is the larger. Over sizes this
-    is least at one of the two ends, but for a rounding that the one token left out here makes good.
-    """
-    up = lambda a, b: F.floor((a + (b - 1)) / b)
-    need = lambda m: up(percent * (n + m), 100 + percent) - up(percent * F.greatest(n, m), 100)
-    ends = F.greatest(low, up(percent * n, 100)), F.least(high, F.floor(n * 100 / percent))
-    return F.greatest(F.least(need(ends[0]), need(ends[1])), F.lit(1))
-
-
-def ordered(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Tokens by how often they are, about, then by value."""
-    often = np.log2(sketch[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)] + 1).astype(np.int64)
-    return tokens[np.lexsort((tokens, often))]
+def ordered(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens by how often they are, about, then by value; and how often, as a logarithm."""
+    often = levels[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    by = np.sort((often.astype(np.uint64) << np.uint64(48)) | tokens)
+    return by & MASK, often
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(whole(text_col)).alias("h"), whole(text_col).alias("text"))
 
 
-def _sketch(rows: DataFrame, words: int) -> np.ndarray:
-    """Counts of tokens over the corpus in a fixed number of counters; each task sums its own first."""
+def _sets(rows: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """(id, h, n, node, tokens, block): a row for each row, tokens once for equal sets of a task; and, with a block of counters in tokens, what the task has counted."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, counts = Shingles(words), np.zeros(COUNTERS, np.int64)
+    @tidy
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, counts, seen = Shingles(words), np.zeros(COUNTERS, np.int32), set()
         for b in batches:
-            every = [t & np.uint64(COUNTERS - 1) for t in shingles(b["text"].tolist())]
-            counts += np.bincount(np.concatenate([np.empty(0, np.int64), *every]).astype(np.int64), minlength=COUNTERS)
-        yield pd.DataFrame({"block": range(BLOCKS), "counts": [x.astype("<i4").tobytes() for x in np.split(np.minimum(counts, 2**31 - 1), BLOCKS)]})
+            for at in range(0, len(b), SLICE):
+                part, out = b.iloc[at : at + SLICE], []
+                for key, h, t in zip(part["id"], part["h"], shingles(part["text"].tolist()), strict=True):
+                    node = xxhash.xxh3_128_digest(t.tobytes()) if len(t) else None
+                    fresh = len(t) and node not in seen
+                    if fresh:
+                        seen.add(node)
+                        np.add.at(counts, (t & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                    out.append((key, h, len(t), node, _packed(np.sort(t & MASK)) if fresh else None, None))
+                if len(seen) > KEPT_WORDS:
+                    seen.clear()
+                yield pd.DataFrame(out, columns=["id", "h", "n", "node", "tokens", "block"])
+        if counts.any():
+            yield pd.DataFrame([(None, None, None, None, zlib.compress(x.tobytes(), 1), k) for k, x in enumerate(np.split(counts, BLOCKS))], columns=["id", "h", "n", "node", "tokens", "block"])
+
+    return scratch.write(rows.mapInPandas(made, "id string, h long, n int, node binary, tokens binary, block int"), "sets")
+
+
+def _levels(sets: DataFrame) -> np.ndarray:
+    """How often tokens are over all classes (of each task), as a whole logarithm, in a fixed number of counters."""
 
     def summed(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS // BLOCKS, np.int64)
         for b in batches:
-            for x in b["counts"]:
-                total += np.frombuffer(x, "<i4")
-        yield pd.DataFrame({"block": [key[0]], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
+            for x in b["tokens"]:
+                total += np.frombuffer(zlib.decompress(x), np.int32)
+        yield pd.DataFrame({"block": [key[0]], "levels": [np.log2(total + 1).astype(np.uint8).tobytes()]})
 
-    out = np.zeros(COUNTERS, np.int32)
+    out = np.zeros(COUNTERS, np.uint8)
     each = COUNTERS // BLOCKS
-    found = rows.select("text").mapInPandas(counted, "block int, counts binary").groupBy("block").applyInPandas(summed, "block int, counts binary")
-    for r in found.collect():  # COUNTERS numbers, whatever the corpus
-        out[r["block"] * each : (r["block"] + 1) * each] = np.frombuffer(r["counts"], "<i4")
+    found = sets.where("block is not null").select("block", "tokens").groupBy("block").applyInPandas(summed, "block int, levels binary")
+    for r in found.collect():  # COUNTERS bytes, whatever the corpus
+        out[r["block"] * each : (r["block"] + 1) * each] = np.frombuffer(r["levels"], np.uint8)
     return out
 
 
-def _tokens(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, n, tokens) for the wanted ids' texts; repeated texts within a task once."""
-
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, seen = Shingles(words), set()
-        for b in batches:
-            out = []
-            for t in shingles(b["text"].tolist()):
-                if len(t) and (node := xxhash.xxh3_128_digest(t.tobytes())) not in seen:
-                    seen.add(node)
-                    out.append((node, len(t), _packed(np.sort(t & np.uint64((1 << 48) - 1)))))
-            if len(seen) > KEPT_WORDS:
-                seen.clear()
-            yield pd.DataFrame(out, columns=["node", "n", "tokens"])
-
-    wanted = wanted.select(F.col("first").cast("string").alias("want")).distinct()
-    size = wanted.agg(F.sum(F.octet_length("want") + 64).alias("n")).first()["n"] or 0
-    wanted = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
-    return rows.join(wanted, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInPandas(made, "node binary, n int, tokens binary")
-
-
-def _near(df: DataFrame, row_bytes: int = 96) -> DataFrame:
-    """A list of ids and keys, to be broadcast if it is small enough, else to be shuffled."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("shuffle_merge")
+def _tokens(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, n, tokens) of the wanted classes, each once."""
+    some = sets.where("tokens is not null and node is not null").select("node", "n", "tokens")
+    return some.join(near(wanted.select(F.col("node").alias("want"))), F.col("node") == F.col("want"), "left_semi").dropDuplicates(["node"])
 
 
 def _opened(asked: DataFrame, blocks: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -197,6 +194,7 @@ def _opened(asked: DataFrame, blocks: DataFrame, tokens: DataFrame, percent: int
         b = b.drop_duplicates("node")
         return pd.DataFrame({"block": [b["block"].iloc[0]], "nodes": [b["node"].tolist()], "sizes": [b["n"].tolist()], "members": [b"".join(b["tokens"])]})
 
+    @tidy
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -214,108 +212,109 @@ def _opened(asked: DataFrame, blocks: DataFrame, tokens: DataFrame, percent: int
                         out.append((a, node))
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    groups = tokens.join(_near(blocks), "node").groupBy("block").applyInPandas(packed, "block string, nodes array<binary>, sizes array<int>, members binary")
-    asking = tokens.select(F.col("node").alias("a"), "tokens").join(_near(asked), "a")
+    groups = tokens.join(near(blocks), "node").groupBy("block").applyInPandas(packed, "block string, nodes array<binary>, sizes array<int>, members binary")
+    asking = tokens.select(F.col("node").alias("a"), "tokens").join(near(asked), "a")
     return asking.join(groups.hint("shuffle_merge"), "block").mapInPandas(opened, "a binary, b binary").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, h, n_shingles, component_id, class_id, component): a row per row of docs; h is Spark's xxhash64 of the text, class_id the smallest id with an equal set, component a key of the component, null for empty sets."""
     scratch, kind = Scratch(docs.sparkSession, "jaccard"), docs.schema[id_col].dataType
-    rows = _rows(docs, id_col, text_col)
-    sketch = _sketch(rows, words)
+    sets = _sets(_rows(docs, id_col, text_col), words, scratch)
+    levels = _levels(sets)
 
+    @tidy
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, seen = Shingles(words), set()
         for b in batches:
             out = []
-            if len(seen) > KEPT_WORDS:
-                seen.clear()
-            for key, h, t in zip(b["id"], b["h"], shingles(b["text"].tolist()), strict=True):
-                if not len(t):
-                    out.append((key, h, 0, None, None, None))
-                    continue
-                node = xxhash.xxh3_128_digest(t.tobytes())
-                if node in seen:  # its class has minima and a prefix in this task already
-                    out.append((key, h, len(t), node, None, None))
-                    continue
-                seen.add(node)
-                minima = [int((_mixed(t + np.uint64(_MIX[j + 2]))).min().astype(np.int64)) for j in range(MINIMA)]
-                prefix = ordered(t, sketch)[: len(t) - least(len(t), percent) + 1]
-                out.append((key, h, len(t), node, minima, _packed(prefix)))
-            yield pd.DataFrame(out, columns=["id", "h", "n", "node", "minima", "prefix"])
-
-    sets = scratch.write(rows.mapInPandas(described, "id string, h long, n int, node binary, minima array<long>, prefix binary"), "sets")
-    of_class = sets.where("n > 0").groupBy("node").agg(F.min(F.col("id").cast(kind)).alias("first"), F.first("n").alias("n"))
-    of_class = scratch.write(of_class, "classes")
-
-    # groups: what links to common centres join
-    linked = None
-    grouped = of_class.select("node", F.col("node").alias("component"), "first")
+            for node, n, data in zip(b["node"], b["n"], b["tokens"], strict=True):
+                tokens = _unpacked(data)
+                minima = [int((_mixed(tokens + np.uint64(_MIX[j + 2]))).min().astype(np.int64)) for j in range(MINIMA)]
+                by, often = ordered(tokens, levels)
+                out.append((node, int(n), float(often.mean()), minima, int(np.log(n) / np.log(ALIKE)), _packed(by[: n - least(n, percent) + 1])))
+            yield pd.DataFrame(out, columns=["node", "n", "common", "minima", "size", "prefix"])
+
+    once = sets.where("node is not null and tokens is not null").select("node", "n", "tokens")
+    once = once.mapInPandas(described, "node binary, n int, common double, minima array<long>, size int, prefix binary").dropDuplicates(["node"])
+    once = scratch.write(once, "described")
+    ids = scratch.write(sets.where("block is null").select("id", "h", "n", "node"), "ids")
+
+    # groups: what links to common centres joins
+    grouped, linked = once.select("node", F.col("node").alias("group")), None
     for j in range(MINIMA):
-        keyed = sets.where("minima is not null").select("node", F.col("minima")[j].alias("m")).distinct().join(grouped, "node")
-        centres = keyed.groupBy("m").agg(F.min("node").alias("centre"), F.min(F.struct("node", "component", "first")).alias("c"), F.max("node").alias("last")).where("centre != last")
-        near = keyed.join(centres.withColumnRenamed("m", "its_m").hint("shuffle_merge"), F.col("m") == F.col("its_m")).where(F.col("component") != F.col("c.component"))
-        near = scratch.write(near.select(F.col("node").alias("a"), "centre", "first", F.col("c.first").alias("its_first")), f"near-{j}")
-        wanted = near.select("first").unionByName(near.select(F.col("its_first").alias("first")))
-        tokens = scratch.write(_tokens(rows, wanted, words), f"tokens-{j}")
-        asked = near.select("a", F.hex("centre").alias("block"))
-        blocks = near.select(F.col("centre").alias("node"), F.hex("centre").alias("block")).distinct()
-        found = scratch.write(_opened(asked, blocks, tokens, percent), f"links-{j}")
+        keyed = once.select("node", "size", "common", F.col("minima")[j].alias("m")).join(grouped, "node")
+        centre = F.max_by(F.struct("node", "group"), F.struct("common", "node"))
+        centres = keyed.groupBy("m", "size").agg(centre.alias("c"), F.count("*").alias("many")).where("many > 1").select(F.col("m").alias("its_m"), F.col("size").alias("its_size"), F.col("c.node").alias("centre"), F.col("c.group").alias("its_group"))
+        asked = keyed.join(centres.hint("shuffle_merge"), (F.col("m") == F.col("its_m")) & (F.col("size") == F.col("its_size"))).where("group != its_group")
+        asked = scratch.write(asked.select(F.col("node").alias("a"), "centre"), f"asked-{j}")
+        wanted = scratch.write(asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("centre").alias("node"))).distinct(), f"wanted-{j}")
+        tokens = scratch.write(_tokens(sets, wanted), f"tokens-{j}")
+        blocks = asked.select(F.col("centre").alias("node"), F.hex("centre").alias("block")).distinct()
+        found = scratch.write(_opened(asked.select("a", F.hex("centre").alias("block")), blocks, tokens, percent), f"links-{j}")
         linked = found if linked is None else linked.unionByName(found)
         scratch.drop(f"tokens-{j}")
-        named = components(linked, scratch, f"groups-{j}")
-        grouped = scratch.write(of_class.join(named.hint("shuffle_merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first", "n"), f"grouped-{j}")
-        grouped = grouped.select("node", "component", "first") if j + 1 < MINIMA else grouped
+        # each class has one key and one centre, so the links of a round are stars
+        star = (found if j == 0 else components(linked, scratch, "groups").select(F.col("node").alias("a"), F.col("component").alias("b"))).withColumnRenamed("a", "its_node")
+        named = once.select("node").join(star.hint("shuffle_merge"), F.col("node") == F.col("its_node"), "left")
+        grouped = scratch.write(named.select("node", F.coalesce("b", "node").alias("group")), f"grouped-{j}")
 
     # the matrix: tokens of prefixes by groups; only tokens of several groups can link what is not yet one
-    distinct = sets.where("prefix is not null").select("node", "prefix").dropDuplicates(["node"])
-    group_of = grouped.select("node", F.xxhash64("component").alias("g"), "n")
-    placed = scratch.write(distinct.join(group_of, "node").select(F.col("node"), "g", "n", "prefix"), "prefixes")
-
-    def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = [_unpacked(x) for x in b["prefix"]]
-            yield pd.DataFrame({"token": np.concatenate([np.empty(0, "<u8"), *parts]).astype("<i8")})
+            for at in range(0, len(b), SLICE):
+                yield b.iloc[at : at + SLICE]
 
-    def nodes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = [_unpacked(x) for x in b["prefix"]]
-            at = np.repeat(np.arange(len(b)), [len(p) for p in parts])
-            yield pd.DataFrame({"token": np.concatenate([np.empty(0, "<u8"), *parts]).astype("<i8"), "node": b["node"].to_numpy()[at], "g": b["g"].to_numpy()[at], "n": b["n"].to_numpy()[at]})
-
-    # tokens of several classes first, which asks for the tokens alone; then those of several groups
-    shared = placed.select("prefix").mapInPandas(tokens_of, "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("its_token"))
+    @tidy
+    def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in slices(batches):
+            yield pd.DataFrame({"token": _unpacked(b"".join(b["prefix"])).astype("<i8")})
+
+    @tidy
+    def places_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in slices(batches):
+            sizes = np.array([len(p) // 6 for p in b["prefix"]], np.int64)
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pd.DataFrame({"token": _unpacked(b"".join(b["prefix"])).astype("<i8"), "of": np.repeat(b["key"].to_numpy(np.int64), sizes), "place": place})
+
+    # tokens of several classes first, which asks for the tokens alone; then short rows of these; what else is known of a class (or of two with one hash) joins the rest
+    keyed = once.select(F.xxhash64("node").alias("key"), "prefix")
+    shared = keyed.select("prefix").mapInPandas(tokens_of, "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("t"))
     shared = scratch.write(shared, "shared")
-    some = placed.mapInPandas(nodes_of, "token long, node binary, g long, n int").join(_near(shared, 16), F.col("token") == F.col("its_token"), "left_semi")
-    some = scratch.write(some, "some")
-    several = some.groupBy(F.col("token").alias("t")).agg(F.min("g").alias("low_g"), F.max("g").alias("high_g")).where("low_g != high_g").select("t")
-    some = scratch.write(some.join(_near(scratch.write(several, "several"), 16), F.col("token") == F.col("t"), "left_semi"), "queried")
-    scratch.drop("some")
-    matrix = some.groupBy(F.col("token").alias("its_token"), F.col("g").alias("its_g")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    fits = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("low") * percent)
-    # of two groups the one with the larger name asks, and only where the prefixes share as many tokens as a link needs
-    asked = some.join(matrix.hint("shuffle_merge"), F.col("token") == F.col("its_token")).where((F.col("g") > F.col("its_g")) & fits)
-    asked = asked.groupBy(F.col("node").alias("a"), "its_g", "n").agg(F.count("*").alias("common"), F.min("low").alias("low"), F.max("high").alias("high"))
-    asked = asked.where(F.col("common") >= _fewest(F.col("n"), F.col("low"), F.col("high"), percent)).select("a", "its_g")
+    some = keyed.mapInPandas(places_of, "token long, of long, place int").join(near(shared), F.col("token") == F.col("t"), "left_semi")
+    some = scratch.write(some, "places")
+    known = once.select("node", "n").join(grouped.select("node", F.xxhash64("group").alias("g")), "node").withColumn("key", F.xxhash64("node"))
+    far = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n")
+    some = scratch.write(some.join(known.hint("shuffle_merge"), F.col("of") == F.col("key")).select("token", "node", "g", "n", far.cast("int").alias("reach")), "some")
+    scratch.drop("places")
+    matrix = some.groupBy(F.col("token").alias("its_token"), F.col("g").alias("its_g")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("its_reach"))
+    # the smaller set asks; of equal ones that of the group with the larger name
+    fits = (F.col("g") != F.col("its_g")) & (F.col("low") <= F.col("reach")) & (F.col("high") >= F.col("n")) & (F.col("its_reach") >= F.col("n")) & ((F.col("high") > F.col("n")) | (F.col("g") > F.col("its_g")))
+    asked = some.where("reach >= n").join(matrix.hint("shuffle_merge"), (F.col("token") == F.col("its_token")) & fits).select(F.col("node").alias("a"), "its_g").distinct()
     asked = scratch.write(asked, "asked")
-    opened = asked.select("its_g").distinct()
-    members = group_of.join(opened.hint("shuffle_merge"), F.col("g") == F.col("its_g"), "left_semi").select("node", "g", "n")
-    sized = members.groupBy("g").agg(F.count("*").alias("members"))
-    members = members.join(sized.hint("shuffle_merge"), "g").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-    members = scratch.write(members.select("node", "g", "n", "blocks", F.concat_ws("-", "g", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")), "members")
-    of_group = members.select("g", "block").distinct()
-    queries = scratch.write(asked.join(of_group.withColumnRenamed("g", "the_g").hint("shuffle_merge"), F.col("its_g") == F.col("the_g")).select("a", "block"), "queries")
-    need = queries.select(F.col("a").alias("node")).unionByName(members.select("node")).distinct().join(of_class, "node").select("first")
-    tokens = scratch.write(_tokens(rows, need, words), "tokens")
-    links = linked.unionByName(_opened(queries, members.select("node", "block"), tokens, percent))
-    links = scratch.write(links, "links")
-
-    named = components(links, scratch, "components")
-    whole_of = of_class.join(named.hint("shuffle_merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first")
-    names = whole_of.groupBy("component").agg(F.min("first").alias("component_id"))
-    per_class = whole_of.join(names.hint("shuffle_merge"), "component").select(F.col("node").alias("its_node"), "component_id", F.col("first").alias("class_id"), "component")
-    out = sets.select("id", "h", "n", "node").join(per_class.hint("shuffle_merge"), F.col("node") == F.col("its_node"), "left")
+    scratch.drop("some")
+    its = scratch.write(asked.select(F.col("its_g").alias("the_g")).distinct(), "its")
+    inside = scratch.write(grouped.select("node", F.xxhash64("group").alias("g")).join(near(its), F.col("g") == F.col("the_g"), "left_semi"), "inside")
+    large = scratch.write(inside.groupBy(F.col("g").alias("the_g")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "large")
+    members = inside.join(near(large), F.col("g") == F.col("the_g"), "left")
+    members = scratch.write(members.select("node", "g", F.concat_ws("-", "g", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))).alias("block")), "members")
+    of_group = members.select(F.col("g").alias("the_g"), "block").distinct()
+    queries = scratch.write(asked.join(of_group.hint("shuffle_merge"), F.col("its_g") == F.col("the_g")).select("a", "block"), "queries")
+    wanted = scratch.write(queries.select(F.col("a").alias("node")).unionByName(members.select("node")).distinct(), "wanted")
+    tokens = scratch.write(_tokens(sets, wanted), "tokens")
+    found = scratch.write(_opened(queries, members.select("node", "block"), tokens, percent), "links")
+    for name in ("tokens", "sets", "described", "queries", "members", "asked", "shared", "inside"):
+        scratch.drop(name)
+
+    # links between groups join them
+    own, its = grouped.select(F.col("node").alias("a"), F.col("group").alias("ga")), grouped.select(F.col("node").alias("b"), F.col("group").alias("gb"))
+    between = found.join(own.hint("shuffle_merge"), "a").join(its.hint("shuffle_merge"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    named = components(between, scratch, "components").select(F.col("node").alias("its_group"), "component")
+    first = ids.where("n > 0").groupBy("node").agg(F.min(F.col("id").cast(kind)).alias("class_id"))
+    whole_of = grouped.join(named.hint("shuffle_merge"), F.col("group") == F.col("its_group"), "left").select("node", F.coalesce("component", "group").alias("component")).join(first.hint("shuffle_merge"), "node")
+    whole_of = scratch.write(whole_of, "classes")
+    names = whole_of.groupBy(F.col("component").alias("its_component")).agg(F.min("class_id").alias("component_id"))
+    per_class = whole_of.join(names.hint("shuffle_merge"), F.col("component") == F.col("its_component")).select(F.col("node").alias("its_node"), "component_id", "class_id", "component")
+    out = ids.join(per_class.hint("shuffle_merge"), F.col("node") == F.col("its_node"), "left")
     own = F.col("id").cast(kind)
     return out.select(own.alias(id_col), "h", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, own).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("n") == 0, own).otherwise(F.col("class_id")).alias("class_id"), "component")
 
@@ -327,7 +326,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "h")
     kept = named.where("component is not null").groupBy("component").agg(F.min(known).alias("k")).select("k.id", "k.h")
     kept = scratch.write(kept.unionByName(named.where("component is null").select(F.col(id_col).alias("id"), "h")).distinct(), "kept")
-    small = kept.count() * 32 <= BROADCAST_BYTES
-    keyed = docs.withColumn("_hash", F.xxhash64(whole(text_col)))
-    kept = kept.select(F.col("id").alias("_kept_id"), F.col("h").alias("_kept_h"))
-    return keyed.join(F.broadcast(kept) if small else kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_h")), "left_semi").drop("_hash")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(whole(text_col)).alias("hash"), F.col(id_col).alias("key"))
+    return keyed.join(near(kept), F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left_semi").select("row.*")
