@@ -23,9 +23,11 @@ alike; empty tables give no rows; other columns pass through untouched.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,18 +37,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, small_batches, tidy, whole
+from lattica.llm.common import Scratch, give_back, small_batches, tidy, whole
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS, BEGINNINGS = 20, (3, 4, 5, 6)
 #: Confirmed documents to fit on, features to keep, least number of confirmed examples with a feature, deviations that are no chance.
 MAX_TOXIC, FEATURES, LEAST, SURE = 2000, 384, 5, 3.5
-#: Counters are sent in so many blocks, sums of tasks meet in so many parts.
-BLOCKS, PARTS = 64, 16
+#: Sums of tasks meet in so many parts.
+PARTS = 16
 #: Newton steps at most, and the weight of the squares of weights.
 STEPS, DECAY = 24, 1e-2
 THRESHOLD = 0.7
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 
 
 def features(word: str) -> set[int]:
@@ -54,17 +56,18 @@ def features(word: str) -> set[int]:
     return {zlib.crc32(word.encode()) & mask, *(zlib.crc32(f"^{word[:k]}".encode()) & mask for k in BEGINNINGS if len(word) >= k)}
 
 
-def _hashed(texts: pd.Series) -> Iterator[np.ndarray]:
-    known: dict[str, set[int]] = {}
+def _placed(texts: pd.Series, place: dict[int, int] | None, known: dict[str, tuple[int, ...]]) -> Iterator[set[int]]:
+    """The features of each text, or their places where those are given; known keeps words for a while."""
     for text in texts:
         found: set[int] = set()
         for w in set(WORD.findall(text.lower())):
-            if w not in known:
-                known[w] = features(w)
-            found |= known[w]
+            if (at := known.get(w)) is None:
+                at = known[w] = tuple(features(w)) if place is None else tuple(place[f] for f in features(w) if f in place)
+            if at:
+                found.update(at)
         if len(known) > KEPT_WORDS:
             known.clear()
-        yield np.fromiter(sorted(found), "<i4", len(found))
+        yield found
 
 
 @dataclass(frozen=True)
@@ -137,33 +140,31 @@ def held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Documents, and documents with each feature, of the unlabelled and the confirmed rows."""
+def _summed(rows: DataFrame, measure: Callable[[pd.DataFrame, dict], tuple]) -> tuple | None:
+    """The sums over all rows of what measure makes of a batch; a task sums its own first, and keeps a dictionary."""
+
+    def added(total: tuple | None, x: tuple) -> tuple:
+        return x if total is None else tuple(p + q for p, q in zip(total, x, strict=True))
 
     @tidy
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = {c: np.zeros((1 << BITS) + BLOCKS, np.int32) for c in (False, True)}
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, kept = None, {}
         for b in batches:
-            for c, x in zip(b["confirmed"], _hashed(b["text"]), strict=True):
-                counts[c][x] += 1
-                counts[c][-1] += 1
-        for c, x in counts.items():
-            if x[-1]:
-                yield pd.DataFrame({"confirmed": c, "block": range(BLOCKS), "counts": [zlib.compress(y.tobytes(), 1) for y in np.split(x, BLOCKS)]})
-
-    def summed(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((1 << BITS) // BLOCKS + 1, np.int64)
+            total = added(total, measure(b, kept)) if len(b) else total
+        if total is not None:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId() % PARTS], "data": [zlib.compress(pickle.dumps(total), 1)]})
+
+    def met(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
         for b in batches:
-            for x in b["counts"]:
-                total += np.frombuffer(zlib.decompress(x), np.int32)
-        yield pd.DataFrame({"confirmed": [key[0]], "block": [key[1]], "counts": [total.tobytes()]})
+            for x in b["data"]:
+                total = added(total, pickle.loads(zlib.decompress(x)))
+        yield pd.DataFrame({"part": [key[0]], "data": [zlib.compress(pickle.dumps(total), 1)]})
 
-    kind = "confirmed boolean, block int, counts binary"
-    out = np.zeros((2, BLOCKS, (1 << BITS) // BLOCKS + 1), np.int64)
-    for r in rows.mapInPandas(counted, kind).groupBy("confirmed", "block").applyInPandas(summed, kind).collect():  # as many numbers as features
-        out[int(r["confirmed"]), r["block"]] = np.frombuffer(r["counts"], np.int64)
-    out = out.reshape(2, -1)
-    return out[:, -1], out[:, : 1 << BITS]
+    out, kind = None, "part int, data binary"
+    for r in rows.mapInPandas(some, kind).groupBy("part").applyInPandas(met, kind).collect():  # PARTS sums, as large as the features
+        out = added(out, pickle.loads(zlib.decompress(r["data"])))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC) -> Model | None:
@@ -177,62 +178,52 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     toxic = known.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(max_toxic).select("id")
     toxic = rows.join(F.broadcast(toxic), "id", "left_semi").dropDuplicates(["id"])
-    both = toxic.select(F.lit(True).alias("confirmed"), "text").unionByName(rows.select(F.lit(False).alias("confirmed"), "text"))
-    (n_free, n_toxic), (free_with, toxic_with) = _counted(both)
-    if not n_toxic:
+    texts = toxic.select("text")
+
+    def counted(places: np.ndarray | None) -> Callable[[pd.DataFrame, dict], tuple]:
+        """Measures documents, and documents with each feature (of those places)."""
+        size = 1 << BITS if places is None else len(places)
+
+        def measure(b: pd.DataFrame, kept: dict) -> tuple:
+            if "place" not in kept:
+                kept |= {"place": None if places is None else {int(f): k for k, f in enumerate(places)}, "known": {}}
+            found = itertools.chain.from_iterable(_placed(b["text"], kept["place"], kept["known"]))
+            return len(b), np.bincount(np.fromiter(found, np.int64), minlength=size)
+
+        return measure
+
+    toxic_found = _summed(texts, counted(None))
+    if toxic_found is None:
+        return None
+    n_toxic, toxic_with = toxic_found
+    common = np.flatnonzero(toxic_with >= min(LEAST, n_toxic))
+    if not len(common):
         return None
+    toxic_with = toxic_with[common]
+    n_free, free_with = _summed(rows.select("text"), counted(common))
     # how many deviations the confirmed share lies above the unlabelled one
     share_p, share_u = toxic_with / n_toxic, (free_with + 1) / (n_free + 2)
     worth = (share_p - share_u) / np.sqrt(share_u * (1 - share_u) * (1 / n_toxic + 1 / (n_free + 1)))
-    worth = np.where((toxic_with >= min(LEAST, n_toxic)) & (share_p > 1.5 * share_u) & (worth > SURE), worth, 0)
-    chosen = np.sort(np.argsort(-worth, kind="stable")[: min(FEATURES, int((worth > 0).sum()))])
+    worth = np.where((share_p > 1.5 * share_u) & (worth > SURE), worth, 0)
+    chosen = common[np.sort(np.argsort(-worth, kind="stable")[: min(FEATURES, int((worth > 0).sum()))])]
     if not len(chosen):
         return None
     width = len(chosen)
 
     @tidy
     def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, known = {int(f): k for k, f in enumerate(chosen)}, {}
         for b in batches:
-            found: dict[tuple[bool, bytes], int] = {}
-            for c, x in zip(b["confirmed"], _hashed(b["text"]), strict=True):
-                at = np.minimum(np.searchsorted(chosen, x), width - 1)
-                key = bool(c), np.unique(at[chosen[at] == x]).astype("<u2").tobytes()
-                found[key] = found.get(key, 0) + 1
-            yield pd.DataFrame([(c, k, n) for (c, k), n in found.items()], columns=["confirmed", "found", "n"])
+            found = Counter(np.array(sorted(x), "<u2").tobytes() for x in _placed(b["text"], place, known))
+            yield pd.DataFrame(found.items(), columns=["found", "n"])
 
     scratch = Scratch(spark, "toxicity")
-    kind = "confirmed boolean, found binary, n long"
-    every = scratch.write(both.mapInPandas(patterns, kind).groupBy("confirmed", "found").agg(F.sum("n").alias("n")), "patterns")
+    free = scratch.write(rows.select("text").mapInPandas(patterns, "found binary, n long").groupBy("found").agg(F.sum("n").alias("n")), "patterns")
     taken = lambda x: np.frombuffer(x, "<u2").astype(np.int64)
-    sampled = every.where("confirmed").collect()  # of max_toxic documents
-    p = _rows([taken(r["found"]) for r in sampled for _ in range(r["n"])], width)
+    p = _rows([taken(r["found"]) for r in texts.mapInPandas(patterns, "found binary, n long").collect() for _ in range(r["n"])], width)  # of max_toxic documents
 
     def over_free(measure: Callable[[np.ndarray, np.ndarray], tuple]) -> tuple:
-        """The sums of a measure over all unlabelled documents."""
-
-        @tidy
-        def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
-            for b in batches:
-                total = added(total, measure(_rows([taken(x) for x in b["found"]], width), b["n"].to_numpy(float)))
-            if total is not None:
-                yield pd.DataFrame({"part": [TaskContext.get().partitionId() % PARTS], "data": [zlib.compress(pickle.dumps(total), 1)]})
-
-        def added(total: tuple | None, x: tuple) -> tuple:
-            return x if total is None else tuple(p + q for p, q in zip(total, x, strict=True))
-
-        def met(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
-            for b in batches:
-                for x in b["data"]:
-                    total = added(total, pickle.loads(zlib.decompress(x)))
-            yield pd.DataFrame({"part": [key[0]], "data": [zlib.compress(pickle.dumps(total), 1)]})
-
-        out = None
-        kind = "part int, data binary"
-        for r in every.where("not confirmed").select("found", "n").mapInPandas(some, kind).groupBy("part").applyInPandas(met, kind).collect():  # PARTS sums
-            out = added(out, pickle.loads(zlib.decompress(r["data"])))
-        return out
+        return _summed(free, lambda b, _: measure(_rows([taken(x) for x in b["found"]], width), b["n"].to_numpy(float)))
 
     w = nn_pu(p, lambda w: over_free(lambda x, n: part_of_risk(x, n, w)), prior)
     # the cut with the best estimate of F1: what is found of the toxic, against what is found in all
@@ -247,10 +238,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     recall = 1 - np.searchsorted(at_p, cuts) / len(at_p)
     taken_u = 1 - np.cumsum(below)[:-1] / n
     best = int(np.argmax(2 * prior * recall / (prior + taken_u)))
-    # half way from the best cut to the unlabelled margins below it
+    # half way from the best cut to the unlabelled margins below it; margins equal to it but for rounding are at it
     bins = np.linspace(cuts[best - 1] if best else cuts[best] - 1, cuts[best], 65)
-    (held,) = over_free(lambda x, n: (np.histogram(x @ w, bins, weights=n)[0],))
-    lower = bins[np.flatnonzero(held)[-1] + 1 if held.any() else 0]
+
+    def under(x: np.ndarray, n: np.ndarray) -> tuple:
+        z = x @ w
+        on = z < cuts[best] - 1e-9
+        return (np.histogram(z[on], bins, weights=n[on])[0],)
+
+    (held,) = over_free(under)
+    lower = bins[np.flatnonzero(held)[-1] if held.any() else 0]
     scratch.drop("patterns")
     deviation = np.sqrt(max(sum_zz / n - (sum_z / n) ** 2, 0))
     return Model(chosen, w[:-1], float(w[-1]), float((cuts[best] + lower) / 2), float(4 / max(deviation, 1e-6)))
@@ -264,21 +261,11 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> Colum
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        place = {int(f): k for k, f in enumerate(model.chosen)}
-        known: dict[str, tuple[int, ...]] = {}
+        place, known = {int(f): k for k, f in enumerate(model.chosen)}, {}
         for texts in batches:
-            margins = np.empty(len(texts))
-            for i, text in enumerate(texts):
-                hits: set[int] = set()
-                for w in set(WORD.findall(text.lower())):
-                    if (at := known.get(w)) is None:
-                        at = known[w] = tuple(place[f] for f in features(w) if f in place)
-                    if at:
-                        hits.update(at)
-                margins[i] = model.bias + sum(model.weights[k] for k in sorted(hits))
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-            yield pd.Series(model.score(margins))
+            margins = [model.bias + sum(model.weights[k] for k in sorted(found)) for found in _placed(texts, place, known)]
+            yield pd.Series(model.score(np.array(margins, float)))
+        give_back()
 
     return scored(whole(text_col))
 
