@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,17 +70,29 @@ def kmeanspp(staged: DataFrame, K: int, W: np.ndarray, width: int, seed: int, ca
 
 def projectors(staged: DataFrame, centres: np.ndarray, d: int) -> np.ndarray:
     """Leading directions of the rows nearest to each centre, about the centre, completed from the axes."""
-    width = centres.shape[1]
-    cells = [(i, j) for i in range(width) for j in range(i, width)]
-    near = staged.select(A.first_least(A.distances(F.col("x"), centres.tolist())).alias("k"), "x")
-    sums = near.groupBy("k").agg(F.count("*").alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(width)], *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"q{i}_{j}") for i, j in cells])
-    out = np.zeros((len(centres), width, d))
-    scatter = np.zeros((len(centres), width, width))
-    for r in sums.collect():  # a row a centre
-        s, c, q = np.array([r[f"s{i}"] for i in range(width)]), centres[r["k"]], np.zeros((width, width))
-        for i, j in cells:
-            q[i, j] = q[j, i] = r[f"q{i}_{j}"]
-        scatter[r["k"]] = q - np.outer(s, c) - np.outer(c, s) + r["n"] * np.outer(c, c)
+    K, width = centres.shape
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((K, width, width))
+        for b in batches:
+            x = np.stack(b["x"].to_numpy()).astype(float) if len(b) else np.empty((0, width))
+            near = ((x[:, None, :] - centres[None]) ** 2).sum(2).argmin(1) if len(x) else np.empty(0, int)
+            for k in np.unique(near):
+                away = x[near == k] - centres[k]
+                total[k] += away.T @ away
+        yield pd.DataFrame({"k": range(K), "part": [t.tobytes() for t in total]})
+
+    def merge(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
+        for b in batches:
+            for x in b["part"]:
+                total += np.frombuffer(x).reshape(width, width)
+        yield pd.DataFrame({"k": [key[0]], "part": [total.tobytes()]})
+
+    out = np.zeros((K, width, d))
+    scatter = np.zeros((K, width, width))
+    for r in staged.select("x").mapInPandas(partial, "k int, part binary").groupBy("k").applyInPandas(merge, "k int, part binary").collect():  # a matrix a centre
+        scatter[r["k"]] = np.frombuffer(r["part"]).reshape(width, width)
     for k in range(len(centres)):
         values, vectors = np.linalg.eigh(scatter[k])
         rank = int((values > max(values.max(initial=0), 0) * 1e-12).sum()) if values.max(initial=0) > 0 else 0

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from lattica.functions import arrays as A
 
 
+#: Levels up to which a code is searched for in a literal array.
+SEARCHED = 64
+
+
 @dataclass(frozen=True)
 class Layout:
     """Continuous columns with their bounds, and categorical columns with their sorted levels."""
@@ -25,7 +29,9 @@ class Layout:
 
 
 def scaled(column: str, low: float, high: float) -> Column:
-    return (F.col(column).cast("double") - low) / (high - low)
+    """A value between its bounds as 0 to 1; a constant column is 0 throughout (and missing values stay missing)."""
+    value = F.col(column).cast("double")
+    return (value - low) / (high - low) if high > low else value * 0.0
 
 
 def code_of(column: str, levels: Sequence) -> Column:
@@ -52,10 +58,29 @@ def fit_layout(df: DataFrame, continuous: Sequence[str], categorical: Sequence[s
 
 
 def replay_layout(df: DataFrame, layout: Layout) -> DataFrame:
-    """df with x (array<double>) and codes (array<int>); a code of -1 marks what the layout has not seen."""
+    """df with x (array<double>) and codes (array<int>); a code of -1 marks what the layout has not seen.
+
+    Few levels are found in a literal array; a longer vocabulary is joined (it is bounded by
+    fit_layout, and broadcast), so that a row costs one lookup and not a search.
+    """
+    placed = {}
+    for j, (c, v) in enumerate(layout.categorical):
+        placed[c] = code_of(c, v)
+        if len(v) > SEARCHED:
+            known = df.sparkSession.createDataFrame(list(enumerate(v)), f"_code{j} int, _level{j} {df.schema[c].dataType.simpleString()}")
+            df = df.join(F.broadcast(known), F.col(c) == F.col(f"_level{j}"), "left").drop(f"_level{j}")
+            placed[c] = F.coalesce(F.col(f"_code{j}"), F.lit(-1))
     x = F.array(*[scaled(c, a, b) for c, a, b in layout.continuous]) if layout.continuous else F.array().cast("array<double>")
-    codes = F.array(*[code_of(c, v) for c, v in layout.categorical]) if layout.categorical else F.array().cast("array<int>")
-    return df.withColumns({"x": x, "codes": codes})
+    codes = F.array(*[placed[c] for c, _ in layout.categorical]) if layout.categorical else F.array().cast("array<int>")
+    return df.withColumns({"x": x, "codes": codes}).drop(*[f"_code{j}" for j in range(len(layout.categorical))])
+
+
+def checked(staged: DataFrame, layout: Layout) -> DataFrame:
+    """staged, whose rows raise an error when they are read if a feature is missing or not finite, or a level was not seen; row-local, so it holds for streams."""
+    bad_x = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    unseen = F.exists("codes", lambda c: c < 0)
+    fine = F.when(bad_x, F.raise_error(F.lit("a row has features that are missing or not finite")).cast("array<double>")).when(unseen, F.raise_error(F.lit("a row has a level that the layout has not seen")).cast("array<double>")).otherwise(F.col("x"))
+    return staged.withColumn("x", fine)
 
 
 def validate(staged: DataFrame, levels: Sequence[int], width: int) -> int:
@@ -145,6 +170,9 @@ def common_train_rows(folds: DataFrame, key: str) -> DataFrame:
 
 
 def check_folds(folds: DataFrame, key: str) -> None:
-    """Raises if a fold trains and validates on one row, or names a row twice."""
+    """Raises if a fold trains and validates on one row or names a row twice, names another part, or lacks one."""
     if folds.groupBy("fold", key).count().where("count > 1").limit(1).count():
         raise ValueError("a fold holds a row twice")
+    parts = folds.groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("t"), F.count_if(F.col("part") == "validation").alias("v"), F.count("*").alias("n"))
+    if parts.where("t = 0 or v = 0 or t + v <> n").limit(1).count():
+        raise ValueError("a fold needs rows of part train and of part validation, and no others")

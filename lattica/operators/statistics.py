@@ -74,23 +74,24 @@ def log_partition(df: DataFrame, cost: str, temperature: float) -> DataFrame:
 def ecdf(reference: DataFrame, query: DataFrame, key: str, value: str, bins: int = 4096) -> DataFrame:
     """(key, share of reference values at or below the query's).
 
-    Reference values are counted by value, and the counts are summed in two steps: within ranges
-    of values that are dealt over tasks, and over the few ranges. No task holds all values.
+    Values are counted first, so equal ones are one row, and the counts are summed in two steps:
+    within ranges of values that are dealt over tasks (as many as there are partitions, at most
+    ``bins``), and over the ranges. No task holds all values.
     """
+    bins = min(bins, max(64, int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     both = reference.select(F.lit(None).cast(query.schema[key].dataType).alias(key), F.col(value).alias("v"), F.lit(1).alias("n")).unionByName(query.select(key, F.col(value).alias("v"), F.lit(0).alias("n")))
-    edges = reference.select(F.percentile_approx(value, F.array(*[F.lit(i / min(bins, 64)) for i in range(1, min(bins, 64))])).alias("e")).first()["e"] or []
+    edges = reference.select(F.percentile_approx(value, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e")).first()["e"] or []
     edges = sorted(set(edges))
-    bucket = F.lit(0)
-    for e in edges:
-        bucket = bucket + (F.col("v") > e).cast("int")
+    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("v"))) if edges else F.lit(0)
     both = both.withColumn("bucket", bucket)
     below = both.groupBy("bucket").agg(F.sum("n").alias("m"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 64 rows
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     below = below.select("bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("bucket").orderBy("v").rangeBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     size = reference.count()
-    ranked = both.withColumn("within", F.sum("n").over(within)).where("n = 0").join(F.broadcast(below), "bucket")
-    return ranked.select(key, ((F.col("before") + F.col("within")) / float(max(size, 1))).alias("share"))
+    values = both.groupBy("bucket", "v").agg(F.sum("n").alias("n")).withColumn("within", F.sum("n").over(within)).join(F.broadcast(below), "bucket")
+    shares = values.select(F.col("v").alias("its_v"), ((F.col("before") + F.col("within")) / float(max(size, 1))).alias("share"))
+    return query.select(key, F.col(value).alias("v")).join(shares, F.col("v").eqNullSafe(F.col("its_v"))).select(key, "share")
 
 
 def weighted_draws(df: DataFrame, key: str, weight: str, uniforms: Sequence[float], buckets: int = 64) -> DataFrame:
@@ -122,11 +123,13 @@ def weighted_draws(df: DataFrame, key: str, weight: str, uniforms: Sequence[floa
 
 
 def correlation_ratio(df: DataFrame, value: str, group: str) -> DataFrame:
-    """sqrt of the share of variance between groups, 0 to 1; 0 where there is none."""
-    by = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    sums = by.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
-    between, every = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("s") * F.col("s") / F.col("n")
-    return sums.select(F.when(every <= 1e-12, F.lit(0.0)).otherwise(F.sqrt(F.least(F.greatest(between / F.nullif(every, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))).alias("value"))
+    """sqrt of the share of variance between groups, 0 to 1; 0 where there is none. Moments are taken about means, so an offset costs no digits."""
+    by = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    middle = by.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("middle"))
+    away = F.col("m") - F.col("middle")
+    sums = by.join(F.broadcast(middle)).agg(F.sum(F.col("n") * away * away).alias("between"), F.sum(F.col("n") * F.col("v")).alias("within"))  # one row of means beside each group
+    every = F.col("between") + F.col("within")
+    return sums.select(F.when(every <= 1e-12, F.lit(0.0)).otherwise(F.sqrt(F.least(F.greatest(F.col("between") / F.nullif(every, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))).alias("value"))
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -163,8 +166,7 @@ def log_loss(df: DataFrame, code: str, shares: str) -> DataFrame:
 
 
 def r2(df: DataFrame, truth: str, guess: str) -> DataFrame:
-    """1 - SSE / SST from sums of one pass."""
+    """1 - SSE / SST in one pass; the variance is taken about the mean, so an offset costs no digits."""
     t, e = F.col(truth), F.col(truth) - F.col(guess)
-    sums = df.agg(F.count("*").alias("n"), F.sum(t).alias("s"), F.sum(t * t).alias("q"), F.sum(e * e).alias("e"))
-    sst = F.col("q") - F.col("s") * F.col("s") / F.col("n")
-    return sums.select(F.when(sst <= 0, F.lit(0.0)).otherwise(1 - F.col("e") / F.nullif(sst, F.lit(0.0))).alias("value"))
+    sums = df.agg(F.avg(F.when(e.isNotNull(), e * e)).alias("e"), F.var_pop(F.when(e.isNotNull(), t)).alias("v"))
+    return sums.select(F.when(F.col("v") <= 0, F.lit(0.0)).otherwise(1 - F.col("e") / F.nullif("v", F.lit(0.0))).alias("value"))

@@ -28,6 +28,10 @@ from lattica.plans.recipe import Input, ManifoldInput, Recipe, RegressionHead
 from lattica.sources.shared import checkpointed
 
 
+#: Tasks that merge the sums of a scan of many partitions.
+MERGERS = 32
+
+
 class ConvergenceWarning(UserWarning):
     """The iteration budget ended first."""
 
@@ -66,6 +70,10 @@ class Network:
     state: DataFrame | None = None
     members: list[Network] = field(default_factory=list)
 
+    def __getstate__(self) -> dict:
+        """For pickle and copy: everything but the kept rows, which live in Spark."""
+        return {**self.__dict__, "state": None}
+
     # --- forward pass as expressions; row-local, so a stream can be transformed too ---------
     def _distance(self) -> Column:
         p, d = self.params, self.params.C.shape[1]
@@ -84,7 +92,7 @@ class Network:
     def affiliations(self, df: DataFrame) -> DataFrame:
         """df with x, codes, cost and gamma0, gamma1, ... of its rows."""
         p = self.params
-        out = staging.replay_layout(df, self.layout)
+        out = staging.checked(staging.replay_layout(df, self.layout), self.layout)
         out = out.withColumn("cost", self._distance())
         out = out.withColumn("gamma0", A.assign(F.col("cost"), p.epsilons[0], len(p.C)))
         for n, theta in enumerate(p.thetas):
@@ -302,8 +310,8 @@ class Fit:
             source = source.persist(StorageLevel.MEMORY_AND_DISK)
             self.state, self.stored, self.keep = source, widths, [np.ones(k, bool) for k in widths]
         parts = source.mapInPandas(partial, "part binary")
-        # sums are as large as the parameters; they merge in tasks first, so the driver gets a few
-        few = parts.coalesce(min(32, max(1, parts.rdd.getNumPartitions()))).mapInPandas(merge, "part binary") if source.rdd.getNumPartitions() > 64 else parts
+        # sums are as large as the parameters; behind a shuffle, so that the scan keeps its width, they merge in tasks first
+        few = parts.repartition(MERGERS).mapInPandas(merge, "part binary") if source.rdd.getNumPartitions() > 2 * MERGERS else parts
         total = None
         for r in few.collect():
             total = N.merged(total, pickle.loads(r["part"]))
@@ -399,8 +407,12 @@ def _input_loss(p: N.Params, s: dict, rows: int) -> float:
     return float(out)
 
 
-def fit(df: DataFrame, recipe: Recipe, target: str | Sequence[str], continuous: Sequence[str] = (), categorical: Sequence[str] = (), *, row_id: str, weight: str | None = None, class_weights: dict | None = None, task_weights: Column | None = None, layout: staging.Layout | None = None, centres: np.ndarray | None = None, levels: Sequence[np.ndarray] | None = None, max_iter: int = 100, tol: float = 1e-4, seed: int = 0, config: PredictConfig | None = None, keep_rows: bool = False, start: N.Params | None = None, calibrate: bool = False) -> Network:
-    """Fit a chain of blocks by exact block-coordinate descent. Features are scaled by the layout; row_id names each row for good."""
+def fit(df: DataFrame, recipe: Recipe, target: str | Sequence[str], continuous: Sequence[str] = (), categorical: Sequence[str] = (), *, row_id: str, weight: str | None = None, class_weights: dict | None = None, task_weights: Column | None = None, layout: staging.Layout | None = None, centres: np.ndarray | None = None, levels: Sequence[np.ndarray] | None = None, max_iter: int = 100, tol: float = 1e-4, seed: int = 0, config: PredictConfig | None = None, keep_rows: bool = False, start: N.Params | None = None, calibrate: bool = False, init_rows: Sequence | None = None, projectors: np.ndarray | None = None, logger: Callable[[int, float], None] | None = None) -> Network:
+    """Fit a chain of blocks by exact block-coordinate descent. Features are scaled by the layout; row_id names each row for good.
+
+    init_rows: ids of rows whose features are the first centres. projectors: bases (K, D, d) of a
+    manifold input, made orthonormal. logger is told each iteration and its loss, from 0.
+    """
     first, hidden, head, links = recipe.as_chain()
     layout = layout or staging.fit_layout(df, continuous, categorical)
     regression = isinstance(head, RegressionHead)
@@ -411,7 +423,9 @@ def fit(df: DataFrame, recipe: Recipe, target: str | Sequence[str], continuous:
             raise ValueError(f"{len(classes)} classes")
     staged = stage(df, layout, target, row_id, classes, weight, class_weights, task_weights).persist(StorageLevel.MEMORY_AND_DISK)
     rows = staging.validate(staged, layout.levels, len(layout.continuous))
-    p = start or _start(staged, first, hidden, head, links, layout, rows, centres, levels, seed, regression, classes)
+    if init_rows is not None:
+        centres, levels = _of_rows(staged, list(init_rows), first.K, layout)
+    p = start or _start(staged, first, hidden, head, links, layout, rows, centres, levels, seed, regression, classes, projectors)
     run = Fit(staged, p)
     run.axes = [0 if (c.coupling or "M") == "M" else 1 for c in links[:-1]] + [0 if regression or head.coupling == "M" else 1]
     priors = [(c.theta_alpha or 1.0) - 1 for c in links[:-1]] + [0.0 if regression else head.theta_alpha - 1]
@@ -458,6 +472,8 @@ def fit(df: DataFrame, recipe: Recipe, target: str | Sequence[str], continuous:
         _head_update(p, by[last], run.axes[-1], priors[-1], head.epsilon_M if regression else math.inf)
         if not k:
             losses.append(loss()[0])
+            if logger:
+                logger(0, losses[0])
         for n in range(last, 0, -1):
             s = run.scan(n)
             by[n] = _kept(s, run.prune(n, s["alive"]), n)
@@ -469,6 +485,8 @@ def fit(df: DataFrame, recipe: Recipe, target: str | Sequence[str], continuous:
         if now > losses[-1] + 256 * N.EPS * max(1.0, abs(now)):
             warnings.warn(f"the loss rose from {losses[-1]:.17g} to {now:.17g}", LossIncreaseWarning, stacklevel=2)
         losses.append(now)
+        if logger:
+            logger(k + 1, now)
         if abs(now - losses[-2]) / max(abs(losses[-2] + offset), N.EPS) <= tol:
             done = True
             break
@@ -506,7 +524,26 @@ def _sums_of(run: Fit, n: int) -> dict[str, np.ndarray]:
     return total
 
 
-def _start(staged, first, hidden, head, links, layout, rows, centres, levels, seed, regression, classes) -> N.Params:
+def _of_rows(staged: DataFrame, ids: list, K: int, layout: staging.Layout) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Centres and level shares of the rows of those ids, in their order."""
+    if len(set(ids)) != len(ids) or len(ids) != K:
+        raise ValueError(f"init_rows needs {K} different rows")
+    found = {r["row_id"]: r for r in staged.where(F.col("row_id").isin(ids)).select("row_id", "x", "codes").collect()}  # K rows
+    if len(found) != K:
+        raise ValueError("init_rows names rows that are not there")
+    codes = np.array([found[i]["codes"] for i in ids], int).reshape(K, -1)
+    return np.array([found[i]["x"] for i in ids], float).reshape(K, -1), [np.eye(n)[codes[:, j]] for j, n in enumerate(layout.levels)]
+
+
+def _bases(projectors: np.ndarray, K: int, width: int, d: int) -> np.ndarray:
+    """Supplied bases, checked and made orthonormal."""
+    U = np.asarray(projectors, float)
+    if U.shape != (K, width, d) or not np.isfinite(U).all() or (np.linalg.matrix_rank(U) < d).any():
+        raise ValueError(f"projectors need shape {(K, width, d)}, finite values and full rank")
+    return np.linalg.qr(U)[0]
+
+
+def _start(staged, first, hidden, head, links, layout, rows, centres, levels, seed, regression, classes, projectors=None) -> N.Params:
     K = min(first.K, rows)
     if K < first.K:
         warnings.warn(f"K is {K}: there are no more rows", UserWarning, stacklevel=3)
@@ -529,7 +566,9 @@ def _start(staged, first, hidden, head, links, layout, rows, centres, levels, se
 
         guess = delta_cat_guess(staged, d, m).first()["value"] if d else 1.0
     scales = [A.level_scale(guess or 1.0, n) for n in m]
-    U = seeding.projectors(staged, centres, first.subspace_dimension) if manifold else None
+    U = None
+    if manifold:
+        U = seeding.projectors(staged, centres, first.subspace_dimension) if projectors is None else _bases(projectors, len(centres), d, first.subspace_dimension)
     outputs = len(classes) if classes else len(staged.select("q").first()["q"])
     widths = [len(centres), *(h.K for h in hidden)]
     thetas = [np.full((b, a), 1 / b if (c.coupling or "M") == "M" else 1 / a) for a, b, c in zip(widths, widths[1:], links, strict=False)]

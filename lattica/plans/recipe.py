@@ -127,6 +127,12 @@ class Recipe:
             _check(not isinstance(by[c.source], HEADS), "a head is no source")
             _check(not isinstance(by[c.target], (Input, ManifoldInput)), "an input is no target")
             _check(not isinstance(by[c.target], HEADS) or (c.coupling is None and c.theta_alpha is None), "a head's connection carries its strength only")
+            _check(c.source != c.target, f"{c.source} is linked to itself")
+        _check(len({(c.source, c.target) for c in self.connections}) == len(self.connections), "two connections link the same blocks")
+        for b in self.blocks:
+            _check(isinstance(b, HEADS) or any(c.source == b.name for c in self.connections), f"{b.name} leads nowhere")
+            _check(isinstance(b, (Input, ManifoldInput)) or any(c.target == b.name for c in self.connections), f"nothing leads to {b.name}")
+        _check(not (kinds & {RegressionHead} and any(isinstance(b, Input) and b.balanced for b in self.blocks)), "balanced seeds need classes")
         self.stable_order()
 
     def stable_order(self) -> list[str]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import statistics as T
 from lattica.operators.seeding import sub_seed
+from lattica.operators.staging import check_folds
 from lattica.plans.network import Network, fit
 from lattica.plans.recipe import Recipe
 
@@ -45,6 +46,8 @@ def select(df: DataFrame, recipe: Recipe, target: str | Sequence[str], *, row_id
     """The network of the best of several starts. folds: (row_id, fold, part) with part train or validation; the winner is fitted again on all rows."""
     if folds is not None and loss is None:
         raise ValueError("folds need a loss")
+    if folds is not None:
+        check_folds(folds, row_id)
 
     def scored(s: int) -> tuple[float, Network | None]:
         if folds is None:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import pickle
 import warnings
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lattica.operators import staging
+from lattica.operators import statistics as T
 from lattica.operators.guess import allocate_seeds, feature_weights
 from lattica.plans import network as NW
 from lattica.plans import reporting
@@ -165,3 +168,54 @@ def test_validation(spark, blobs):
         fitted(bad, Recipe.chain(Input(), ClassificationHead()), layout=NW.staging.Layout(tuple((c, 0.0, 1.0) for c in X), ()))
     with pytest.raises(ValueError):
         fitted(blobs.limit(0), Recipe.chain(Input(), ClassificationHead()), layout=NW.staging.Layout(tuple((c, 0.0, 1.0) for c in X), ()))
+
+
+def test_offsets_cost_no_digits(spark):
+    df = spark.createDataFrame([(1e9 + k % 7, 1e9 + k % 7 + 0.05 * (k % 2), "ab"[k % 7 > 3]) for k in range(700)], "t double, g double, c string")
+    near = spark.createDataFrame([(float(k % 7), k % 7 + 0.05 * (k % 2), "ab"[k % 7 > 3]) for k in range(700)], "t double, g double, c string")
+    for made in (lambda d: T.r2(d, "t", "g"), lambda d: T.correlation_ratio(d, "t", "c")):
+        assert made(df).first()["value"] == pytest.approx(made(near).first()["value"], abs=1e-6)
+
+
+def test_a_constant_feature_and_bad_rows(spark):
+    rows = [(k, float(k % 5), 3.0, "ab"[k % 2], k % 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, c string, y int")
+    told = []
+    made = NW.fit(df, Recipe.chain(Input(K=2), ClassificationHead()), "y", ["a", "b"], ["c"], row_id="row_id", max_iter=3, tol=0.0, init_rows=[3, 4], logger=lambda k, loss: told.append((k, loss)))
+    assert [k for k, _ in told] == list(range(len(made.losses))) and [x for _, x in told] == made.losses
+    for bad in ((1, None, 3.0, "a", 0), (1, float("nan"), 3.0, "a", 0), (1, 1.0, 3.0, "z", 0)):
+        with pytest.raises(Exception, match="a row has"):
+            made.predict(spark.createDataFrame([bad], df.schema)).collect()
+    again = pickle.loads(pickle.dumps(made))
+    assert again.predict(df).orderBy("row_id").collect() == made.predict(df).orderBy("row_id").collect()
+    with pytest.raises(ValueError):
+        NW.fit(df, Recipe.chain(Input(K=2), ClassificationHead()), "y", ["a", "b"], row_id="row_id", init_rows=[3, 99])
+
+
+def test_long_vocabularies_are_joined(spark):
+    names = [f"n{k:03d}" for k in range(staging.SEARCHED + 40)]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate([*names, "other"])], "row_id long, c string")
+    out = staging.replay_layout(df, staging.Layout((), (("c", tuple(names)),)))
+    assert out.columns == ["row_id", "c", "x", "codes"]
+    assert {r.row_id: r.codes[0] for r in out.collect()} == {**dict(enumerate(range(len(names)))), len(names): -1}
+
+
+def test_a_scan_keeps_its_width(spark, monkeypatch):
+    """Sums merge behind a shuffle: as many tasks read rows as there are partitions."""
+    monkeypatch.setattr(NW, "MERGERS", 3)
+    df = spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") % 9).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    widths = []
+    for n in (2, 40):
+        made = NW.fit(df.repartition(n), Recipe.chain(Input(K=2, epsilon=0.05), ClassificationHead()), "y", ["a"], row_id="row_id", max_iter=2, tol=0.0, centres=[[0.1], [0.9]])
+        widths.append(made.losses)
+    assert widths[0] == pytest.approx(widths[1])
+
+
+def test_supplied_projectors(spark):
+    df = spark.createDataFrame([(k, k / 30, (k * 7 % 30) / 30, k % 2) for k in range(30)], "row_id long, a double, b double, y int")
+    recipe = Recipe.chain(ManifoldInput(K=2, subspace_dimension=1), ClassificationHead())
+    U = np.array([[[2.0], [0.0]], [[0.0], [3.0]]])
+    made = NW.fit(df, recipe, "y", ["a", "b"], row_id="row_id", max_iter=0, centres=[[0.2, 0.5], [0.8, 0.5]], projectors=U)
+    assert np.abs(made.params.U) == pytest.approx(np.abs(U) / [[[2.0]], [[3.0]]])
+    with pytest.raises(ValueError):
+        NW.fit(df, recipe, "y", ["a", "b"], row_id="row_id", max_iter=0, centres=[[0.2, 0.5], [0.8, 0.5]], projectors=U * 0)
