@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a list of keys is broadcast, with what a row of it takes in memory.
 BROADCAST_BYTES, ROW_BYTES = 16 << 20, 128
-_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,7 @@ def small_batches(spark: SparkSession) -> SparkSession:
 
 def give_back() -> None:
     """Hand freed memory back to the system: Python workers live on after a task, and what they have freed stays with the process."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

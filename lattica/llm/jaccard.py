@@ -48,10 +48,10 @@ MINIMA, ALIKE = 2, 1.3
 #: Counters of the sketch, and its blocks.
 COUNTERS, BLOCKS = 1 << 22, 64
 #: Members of a block of a group.
-BLOCK = 32
+BLOCK = 8
 #: Characters of the texts that are hashed together.
 SOME_CHARS = 1 << 20
-KEPT_WORDS = 300_000
+KEPT_WORDS = 50_000
 #: Rows handed over at a time.
 SLICE = 512
 MASK = np.uint64((1 << 48) - 1)
@@ -327,4 +327,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = named.where("component is not null").groupBy("component").agg(F.min(known).alias("k")).select("k.id", "k.h")
     kept = scratch.write(kept.unionByName(named.where("component is null").select(F.col(id_col).alias("id"), "h")).distinct(), "kept")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(whole(text_col)).alias("hash"), F.col(id_col).alias("key"))
-    return keyed.join(near(kept), F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left_semi").select("row.*")
+    return keyed.join(kept.hint("shuffle_merge"), F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left_semi").select("row.*")

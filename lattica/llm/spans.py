@@ -11,7 +11,7 @@ are removed; the first place of a sentence always stays. Of a repeated passage a
 at its edges stays, and a lone whole sentence of under ``long_words`` words between two such.
 First places come from a partial aggregate, are written, and only those of repeated spans are
 joined back, from tables on both sides, so that Spark splits the part of a span that a third of
-all rows hold; a list of bounded size is broadcast instead.
+all rows hold.
 
 Defined results: null and empty texts have no sentences and stay; a text shorter than a span
 stays; spans that repeat within one text count too; rows equal in id and text count as one
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, near, tidy, whole
+from lattica.llm.common import Scratch, tidy, whole
 
 #: A run of several sentences is a span whatever its words; a single sentence is one from LONG_WORDS words.
 LEAST_SENTENCES, LEAST_WORDS, LONG_WORDS = 2, 0, 50
@@ -97,7 +97,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     place = F.struct("id", "h", "k")
     first = found.groupBy("words").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("words").alias("its_words"), "first")
     first = Scratch(docs.sparkSession, "spans").write(first, "first")
-    again = found.join(near(first), F.col("words") == F.col("its_words")).where(~place.eqNullSafe(F.col("first")))
+    again = found.join(first.hint("shuffle_merge"), F.col("words") == F.col("its_words")).where(~place.eqNullSafe(F.col("first")))
     covered = again.groupBy(F.col("id").alias("its_id"), F.col("h").alias("its_h")).agg(F.collect_set(F.struct("k", "n")).alias("covered"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(whole(text_col)).alias("h"))
     joined = keyed.join(covered, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("h") == F.col("its_h")), "left")
