@@ -48,7 +48,7 @@ PARTS = 16
 #: Newton steps at most, and the weight of the squares of weights.
 STEPS, DECAY = 24, 1e-2
 THRESHOLD = 0.7
-KEPT_WORDS = 50_000
+KEPT_WORDS = 200_000
 
 
 def features(word: str) -> set[int]:
