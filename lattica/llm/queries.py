@@ -61,7 +61,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.train(spark))
     of_kind = lambda k, x: x["kind"] == k
     counts = [F.size(F.filter("_base", partial(of_kind, k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.listed("_base"), 256).alias("base_sha256"), pii.listed("_spans").alias("spans"))
+    more = [F.size(F.filter("_spans", partial(of_kind, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS if k not in pii.BASE]
+    every = F.size("_spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(pii.listed("_base"), 256).alias("base_sha256"), pii.listed("_spans").alias("spans"), *more, every)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
