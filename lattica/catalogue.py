@@ -9,10 +9,12 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import arrays as A
+from lattica.operators import seeding as G
 from lattica.operators import staging as S
 from lattica.operators import statistics as T
 from lattica.plans import network as N
@@ -126,20 +128,18 @@ def long_row(df: DataFrame, *columns: Column, at: str = "k") -> DataFrame:
 @query("minmax_stage", "SELECT column_name, round(low, 6) AS low, round(high, 6) AS high, n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, count(*) AS n FROM lineitem" for c, _, _ in BOUNDS) + ")")
 def minmax_stage(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem")
-    one = df.agg(F.count("*").alias("n"), *[f(c).cast("double").alias(f"{f.__name__}_{c}") for c, _, _ in BOUNDS for f in (F.min, F.max)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), r6(f"min_{c}").alias("low"), r6(f"max_{c}").alias("high")) for c, _, _ in BOUNDS])
-    return one.select(F.explode(rows).alias("r"), "n").select("r.*", "n")
+    found = spark.createDataFrame(S.bounds(df, [c for c, _, _ in BOUNDS]), "column_name string, low double, high double")
+    return found.select("column_name", r6("low").alias("low"), r6("high").alias("high"), F.lit(df.count()).cast("long").alias("n"))
 
 
 @query("validate_continuous", f"WITH {LI} SELECT count(*) AS n, count(*) FILTER (WHERE NOT (" + " AND ".join(f"isfinite(x{d})" for d in range(D)) + ")) AS bad FROM li")
 def validate_continuous(spark, sf_dir):
-    df = lineitem(spark, sf_dir)
-    return df.agg(F.count("*").alias("n"), F.count_if(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))).alias("bad"))
+    return S.defects(lineitem(spark, sf_dir), [], D).withColumnRenamed("x", "bad")
 
 
 @query("validate_categorical", f"WITH {LI} SELECT min(cf) AS low_flag, max(cf) AS high_flag, max(cf) + 1 AS levels_flag, min(cs) AS low_status, max(cs) AS high_status, max(cs) + 1 AS levels_status FROM li")
 def validate_categorical(spark, sf_dir):
-    return lineitem(spark, sf_dir).agg(F.min("cf").alias("low_flag"), F.max("cf").alias("high_flag"), (F.max("cf") + 1).alias("levels_flag"), F.min("cs").alias("low_status"), F.max("cs").alias("high_status"), (F.max("cs") + 1).alias("levels_status"))
+    return S.code_ranges(lineitem(spark, sf_dir).select(F.col("cf").alias("flag"), F.col("cs").alias("status")), ["flag", "status"])
 
 
 @query("validate_distribution_rows", f"{BASE} SELECT count(*) AS n, count(*) FILTER (WHERE abs(g0 + g1 + g2 - 1) <= 8 * 3 * 2.220446049250313e-16 AND least(g0, g1, g2) >= 0) AS on_simplex FROM ga")
@@ -183,8 +183,8 @@ def weights_normalise(spark, sf_dir):
 
 @query("labelled_share", f"WITH {DOC} SELECT round(sum(CASE WHEN labelled THEN w END) / sum(w), 6) AS value FROM ws")
 def labelled_share(spark, sf_dir):
-    df = documents(spark, sf_dir)
-    return df.agg(r6(F.sum(F.when(F.col("labelled"), F.col("w"))) / F.sum("w")).alias("value"))
+    share = S.labelled_share(documents(spark, sf_dir), "w", "labelled")
+    return spark.createDataFrame([(share,)], "value double").select(r6("value").alias("value"))
 
 
 @query("stage_classification_target", f"WITH {DOC} SELECT doc_id, labelled, CASE WHEN toxic = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS q0, CASE WHEN toxic = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS q1 FROM ws")
@@ -260,7 +260,7 @@ def effective_dimension(spark, sf_dir):
 
 @query("entropy_penalty", f"{BASE} SELECT round(-{_d(TEMP)} * sum(w0 * -(g0 * ln(greatest(g0, {TINY})) + g1 * ln(greatest(g1, {TINY})) + g2 * ln(greatest(g2, {TINY})))) / sum(w0), 6) AS value FROM ga")
 def entropy_penalty(spark, sf_dir):
-    return with_gamma(lineitem(spark, sf_dir)).agg(r6(-F.lit(TEMP) * F.sum(F.col("w0") * A.entropy(F.col("gamma"))) / F.sum("w0")).alias("value"))
+    return T.entropy_penalty(with_gamma(lineitem(spark, sf_dir)), "gamma", F.col("w0"), TEMP).select(r6("value").alias("value"))
 
 
 _B = "b AS (SELECT *, g0 * d0 + g1 * d1 + g2 * d2 AS b FROM ga)"
@@ -322,8 +322,8 @@ def mixed_discretisation(spark, sf_dir):
 
 @query("seed_dissimilarity", f"WITH {LI} SELECT {KEY_SQL}, round(greatest({_dist(1)}, 0) + CASE WHEN cf = 1 THEN 0 ELSE -ln({TINY}::DOUBLE) END, 6) AS value FROM li")
 def seed_dissimilarity(spark, sf_dir):
-    mismatch = A.cross_entropy(F.col("cf"), [[0.0, 1.0, 0.0]])[0]
-    return lineitem(spark, sf_dir).select(*KEYS, r6(F.greatest(A.sq_distance(F.col("x"), C[1], W), F.lit(0.0)) + mismatch).alias("value"))
+    df = lineitem(spark, sf_dir).withColumn("codes", F.array("cf"))
+    return df.select(*KEYS, r6(G.dissimilarity(D, np.array([*W, 1.0]), C[1], [1])).alias("value"))
 
 
 # --- assignment -----------------------------------------------------------------------------
@@ -623,10 +623,19 @@ def weighted_draw(spark, sf_dir):
     return T.weighted_draws(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("w")), "o_orderkey", "w", UNIFORMS)
 
 
+def _seed(x: list[float]) -> dict:
+    return {"x": x, "codes": []}
+
+
+def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose weights sum to their mean."""
+    df = lineitem(spark, sf_dir)
+    return df.withColumn("w", F.col("w0") / F.lit(float(max(df.count(), 1))))
+
+
 @query("kmeanspp_potential", f"WITH {LI}, {DI} SELECT round(avg(w0 * least(d0, d1)), 6) AS value FROM di")
 def kmeanspp_potential(spark, sf_dir):
-    df = lineitem(spark, sf_dir)
-    return df.agg(r6(F.avg(F.col("w0") * F.least(A.sq_distance(F.col("x"), C[0], W), A.sq_distance(F.col("x"), C[1], W)))).alias("value"))
+    return G.potentials(_seeded(spark, sf_dir), G.nearest(D, np.array(W), [_seed(C[0])]), [_seed(C[1])], D, np.array(W)).select(r6("p0").alias("value"))
 
 
 _CAND = [[0.31, 0.27, 0.83, 0.61], [0.77, 0.71, 0.13, 0.29], [0.11, 0.91, 0.47, 0.53]]
@@ -634,8 +643,7 @@ _CAND = [[0.31, 0.27, 0.83, 0.61], [0.77, 0.71, 0.13, 0.29], [0.11, 0.91, 0.47,
 
 @query("greedy_candidate", f"WITH {LI}, {DI}, p AS (" + " UNION ALL ".join(f"SELECT {i} AS candidate, avg(w0 * least(d0, " + " + ".join(f"{_d(W[d])} * (x{d} - {_d(c[d])}) * (x{d} - {_d(c[d])})" for d in range(D)) + ")) AS potential FROM di" for i, c in enumerate(_CAND)) + ") SELECT candidate, round(potential, 6) AS potential, potential = min(potential) OVER () AS chosen FROM p")
 def greedy_candidate(spark, sf_dir):
-    now = A.sq_distance(F.col("x"), C[0], W)
-    one = lineitem(spark, sf_dir).agg(*[F.avg(F.col("w0") * F.least(now, A.sq_distance(F.col("x"), c, W))).alias(f"p{i}") for i, c in enumerate(_CAND)])
+    one = G.potentials(_seeded(spark, sf_dir), G.nearest(D, np.array(W), [_seed(C[0])]), [_seed(c) for c in _CAND], D, np.array(W))
     each = one.withColumn("low", F.least(*[F.col(f"p{i}") for i in range(3)])).select("low", F.posexplode(F.array(*[F.col(f"p{i}") for i in range(3)])).alias("candidate", "p"))
     return each.select("candidate", r6("p").alias("potential"), (F.col("p") == F.col("low")).alias("chosen"))
 
@@ -651,7 +659,7 @@ def balanced_allocation(spark, sf_dir):
 
 @query("fold_assign", "SELECT o_orderkey, CAST((o_orderkey * 7919 + 13) % 104729 % 5 AS INTEGER) AS fold FROM orders")
 def fold_assign(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") * 7919 + 13) % 104729 % 5).cast("int").alias("fold"))
+    return S.fold_table(read(spark, sf_dir, "orders"), "o_orderkey", 5, (F.col("o_orderkey") * 7919 + 13) % 104729)
 
 
 @query("common_train_rows", "SELECT o_orderkey FROM orders WHERE (o_orderkey * 7919 + 13) % 104729 % 5 NOT IN (0, 1, 2)")
@@ -683,9 +691,8 @@ _BETAS = (0.25, 0.5, 1.0, 2.0, 4.0)
 
 @query("calibration_grid_loss", f"{BASE}, z AS (SELECT cf, " + ", ".join(f"{c} AS z{m}" for m, c in enumerate(_LO)) + " FROM ga) " + " UNION ALL ".join(f"SELECT {_d(b)} AS beta, round(avg(ln(exp({b} * z0) + exp({b} * z1) + exp({b} * z2)) - {b} * CASE cf WHEN 0 THEN z0 WHEN 1 THEN z1 ELSE z2 END), 6) AS value FROM z" for b in _BETAS))
 def calibration_grid_loss(spark, sf_dir):
-    df = with_gamma(lineitem(spark, sf_dir)).withColumn("z", A.through(F.col("gamma"), A.logs(OUT)))
-    loss = lambda b: F.avg(F.ln(A.total(F.transform("z", lambda v: F.exp(v * b)))) - b * F.element_at("z", F.col("cf") + 1))
-    one = df.agg(*[loss(b).alias(f"l{i}") for i, b in enumerate(_BETAS)])  # one pass for the grid
+    df = with_gamma(lineitem(spark, sf_dir)).withColumn("z", A.through(F.col("gamma"), A.logs(OUT))).withColumn("c", F.col("cf"))
+    one = df.agg(*[F.avg(N.log_loss_at(b)).alias(f"l{i}") for i, b in enumerate(_BETAS)])  # one pass for the grid
     return one.select(F.explode(F.array(*[F.struct(F.lit(b).alias("beta"), r6(f"l{i}").alias("value")) for i, b in enumerate(_BETAS)])).alias("r")).select("r.*")
 
 

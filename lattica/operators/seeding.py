@@ -24,7 +24,8 @@ def uniform(row: Column, *salt: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(row, *[F.lit(s) for s in salt]), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
-def _dissimilarity(width: int, W: np.ndarray, seed_x: list[float], seed_codes: list[int]) -> Column:
+def dissimilarity(width: int, W: np.ndarray, seed_x: list[float], seed_codes: list[int]) -> Column:
+    """What a row is away from a seed: weighted square distance, and the price of a share of nothing for each level that differs."""
     out = A.sq_distance(F.col("x"), seed_x, W[:width].tolist()) if width else F.lit(0.0)
     miss = -math.log(A.TINY)
     for j, c in enumerate(seed_codes):
@@ -32,6 +33,16 @@ def _dissimilarity(width: int, W: np.ndarray, seed_x: list[float], seed_codes: l
     return F.greatest(out, F.lit(0.0))
 
 
+def nearest(width: int, W: np.ndarray, drawn: list) -> Column:
+    """The least dissimilarity to the seeds drawn so far, 1 before the first."""
+    return F.least(*[dissimilarity(width, W, d["x"], d["codes"]) for d in drawn], F.lit(float("inf"))) if drawn else F.lit(1.0)
+
+
+def potentials(rows: DataFrame, near: Column, options: list, width: int, W: np.ndarray) -> DataFrame:
+    """(p0, p1, ...): what each option would leave of the weighted dissimilarity, in one aggregate."""
+    return rows.agg(*[F.sum(F.col("w") * F.least(near, dissimilarity(width, W, o["x"], o["codes"]))).alias(f"p{i}") for i, o in enumerate(options)])
+
+
 def kmeanspp(staged: DataFrame, K: int, W: np.ndarray, width: int, seed: int, candidates: int | None, balanced: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(centres, codes) of K rows drawn in turn with chance w * D2 to the nearest one drawn.
 
@@ -48,7 +59,7 @@ def kmeanspp(staged: DataFrame, K: int, W: np.ndarray, width: int, seed: int, ca
         pools = [code == c for c, n in allocate_seeds({r["c"]: (r["n"], r["m"]) for r in groups}, K).items() for _ in range(n)]
     drawn: list = []
     for k in range(len(pools)):
-        near = F.least(*[_dissimilarity(width, W, d["x"], d["codes"]) for d in drawn], F.lit(float("inf"))) if drawn else F.lit(1.0)
+        near = nearest(width, W, drawn)
         chance = F.col("w") * near
         rows = staged if pools[k] is None else staged.where(pools[k])
         row = F.struct("row_id", "x", "codes")
@@ -61,9 +72,7 @@ def kmeanspp(staged: DataFrame, K: int, W: np.ndarray, width: int, seed: int, ca
                 break
         options = [x["r"] for x in found]
         if len(options) > 1:
-            left = [F.sum(F.col("w") * F.least(near, _dissimilarity(width, W, o["x"], o["codes"]))).alias(f"p{i}") for i, o in enumerate(options)]
-            potential = list(rows.agg(*left).first())
-            options = [options[int(np.argmin(potential))]]
+            options = [options[int(np.argmin(list(potentials(rows, near, options, width, W).first())))]]
         drawn.append(options[0])
     return np.array([d["x"] for d in drawn], float).reshape(len(drawn), -1), np.array([d["codes"] for d in drawn], int).reshape(len(drawn), -1)
 

@@ -83,11 +83,36 @@ def checked(staged: DataFrame, layout: Layout) -> DataFrame:
     return staged.withColumn("x", fine)
 
 
-def validate(staged: DataFrame, levels: Sequence[int], width: int) -> int:
-    """Rows of the staged table; raises on an empty table, a width or value that is no feature, or an unseen level."""
+def defects(staged: DataFrame, levels: Sequence[int], width: int) -> DataFrame:
+    """(n, x, code0, ...): rows, rows whose features are missing, not finite or of another width, and rows with a level out of range by feature."""
     bad_x = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     bad_code = [F.count_if((F.element_at("codes", j + 1) < 0) | (F.element_at("codes", j + 1) >= m)).alias(f"code{j}") for j, m in enumerate(levels)]
-    row = staged.agg(F.count("*").alias("n"), F.count_if(bad_x | (F.size("x") != width)).alias("x"), *bad_code).first()
+    return staged.agg(F.count("*").alias("n"), F.count_if(bad_x | (F.size("x") != width)).alias("x"), *bad_code)
+
+
+def code_ranges(df: DataFrame, codes: Sequence[str]) -> DataFrame:
+    """(low_c, high_c, levels_c) of each column of codes, in one aggregate."""
+    return df.agg(*[e.alias(f"{n}_{c}") for c in codes for n, e in (("low", F.min(c)), ("high", F.max(c)), ("levels", F.max(c) + 1))])
+
+
+def validate_codes(df: DataFrame, codes: Sequence[str], expected: Sequence[int] | None = None) -> list[int]:
+    """Levels of each column of codes, as they are or as expected; raises on missing or negative codes, codes out of range, and fewer than two levels."""
+    missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in codes]).first()
+    row = code_ranges(df, codes).first()
+    out = []
+    for j, c in enumerate(codes):
+        n = expected[j] if expected is not None else row[f"levels_{c}"]
+        if missing[c] or row[f"low_{c}"] is None or row[f"low_{c}"] < 0 or row[f"high_{c}"] >= n:
+            raise ValueError(f"{c} has codes that are missing or out of range")
+        if n < 2:
+            raise ValueError(f"{c} has fewer than two levels")
+        out.append(n)
+    return out
+
+
+def validate(staged: DataFrame, levels: Sequence[int], width: int) -> int:
+    """Rows of the staged table; raises on an empty table, a width or value that is no feature, or an unseen level."""
+    row = defects(staged, levels, width).first()
     if not row["n"]:
         raise ValueError("no rows")
     if row["x"]:
@@ -158,9 +183,10 @@ def subset(staged: DataFrame, rows: DataFrame, key: str = "row_id") -> DataFrame
     return staged.join(rows.select(key).distinct(), key, "left_semi")
 
 
-def fold_table(df: DataFrame, key: str, folds: int) -> DataFrame:
-    """(key, fold): a fold for each row by a hash that any engine can form."""
-    return df.select(key, (F.crc32(F.col(key).cast("string")) % folds).cast("int").alias("fold"))
+def fold_table(df: DataFrame, key: str, folds: int, by: Column | None = None) -> DataFrame:
+    """(key, fold): a fold for each row by a whole number (if none is given, a hash of the key that any engine can form)."""
+    by = F.crc32(F.col(key).cast("string")) if by is None else by
+    return df.select(key, F.pmod(by, F.lit(folds)).cast("int").alias("fold"))
 
 
 def common_train_rows(folds: DataFrame, key: str) -> DataFrame:

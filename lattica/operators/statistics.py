@@ -71,6 +71,11 @@ def log_partition(df: DataFrame, cost: str, temperature: float) -> DataFrame:
     return df.join(F.broadcast(least)).groupBy("least").agg(F.ln(F.sum(F.exp(-(F.col(cost) - F.col("least")) / temperature))).alias("log_partition"))
 
 
+def entropy_penalty(df: DataFrame, gamma: str, weight: Column, temperature: float) -> DataFrame:
+    """(value): minus the temperature times the weighted mean entropy of rows of shares."""
+    return df.agg((-F.lit(temperature) * F.sum(weight * A.entropy(F.col(gamma))) / F.sum(weight)).alias("value"))
+
+
 def ecdf(reference: DataFrame, query: DataFrame, key: str, value: str, bins: int = 4096) -> DataFrame:
     """(key, share of reference values at or below the query's).
 

@@ -178,7 +178,7 @@ class Network:
         rows = rows.select(A.let(z, lambda v: F.transform(v, lambda e: e - F.array_max(v))).alias("z"), staging.code_of(label, self.classes).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
 
         def loss(*betas: float) -> list[float]:
-            each = [F.avg(_log_loss_at(b)) for b in betas]
+            each = [F.avg(log_loss_at(b)) for b in betas]
             return list(rows.agg(*[e.alias(f"b{i}") for i, e in enumerate(each)]).first())
 
         low, high = math.log(1e-6), math.log(1e6)
@@ -214,7 +214,7 @@ class Network:
         return self.state.select("row_id", column)
 
 
-def _log_loss_at(beta: float) -> Column:
+def log_loss_at(beta: float) -> Column:
     return F.ln(A.total(F.transform("z", lambda v: F.exp(v * beta)))) - beta * F.element_at("z", F.col("c") + 1)
 
 
