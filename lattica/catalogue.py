@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,10 @@ from lattica.functions import arrays as A
 from lattica.operators import seeding as G
 from lattica.operators import staging as S
 from lattica.operators import statistics as T
+from lattica.plans import kernel as P
 from lattica.plans import network as N
 from lattica.plans import recipe as R
+from lattica.plans import reporting
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -747,6 +750,117 @@ def fit_step_regression(spark, sf_dir):
     return _centres(spark, _step(rows, recipe, "price", layout=_LAYOUT, centres=C))
 
 
+def _fixed(rows: int = 1, **changes) -> N.Network:
+    """A network of literal parameters."""
+    recipe = R.Recipe.chain(R.Input(K=K, epsilon=TEMP, epsilon_D=0.5), R.ClassificationHead(), delta=DELTA)
+    params = P.Params(np.array(C), np.array(W), out=np.array(OUT), epsilons=[TEMP], deltas=[DELTA])
+    return N.Network(recipe, _LAYOUT, replace(params, **changes), [1.0], True, N.PredictConfig(), rows, list(FLAGS))
+
+
+def _label(p: str) -> str:
+    return f"CASE WHEN {p}0 >= {p}1 AND {p}0 >= {p}2 THEN 'A' WHEN {p}1 >= {p}2 THEN 'N' ELSE 'R' END"
+
+
+_NEG = "zz AS (SELECT *, " + ", ".join(f"-({c}) AS z{m}" for m, c in enumerate(_LO)) + " FROM ga)"
+
+
+@query("predict_single", f"{BASE}, {_NEG}, pr AS (SELECT {KEY_SQL}, {_soft('z', '1.0', 3, 'p')} FROM zz) SELECT {KEY_SQL}, {_label('p')} AS label, round(greatest(p0, p1, p2), 6) AS p FROM pr")
+def predict_single(spark, sf_dir):
+    out = _fixed().predict(read(spark, sf_dir, "lineitem"))
+    return out.select(*KEYS, "label", r6(F.array_max("prediction")).alias("p"))
+
+
+_GZ = "gz AS (SELECT di.*, " + ", ".join(f"d{k} - {_d(DELTA)} / 3 * (" + " + ".join(f"ln({_d(OUT[m][k])})" for m in range(3)) + f") AS c{k}" for k in range(K)) + " FROM di)"
+
+
+@query("predict_start_uniform", f"WITH {LI}, {DI}, {_GZ}, ga AS (SELECT *, {_soft('c', _d(TEMP))} FROM gz), {_NEG}, pr AS (SELECT {KEY_SQL}, {_soft('z', '1.0', 3, 'p')} FROM zz) SELECT {KEY_SQL}, {_label('p')} AS label, round(greatest(p0, p1, p2), 6) AS p FROM pr")
+def predict_start_uniform(spark, sf_dir):
+    """Two steps of iterative prediction from uniform shares: the first moves the clusters, the second the prediction."""
+    out = _fixed().predict(read(spark, sf_dir, "lineitem"), config=N.PredictConfig(mode="iterative", start="uniform", max_iter=2, tol=0.0))
+    return out.select(*KEYS, "label", r6(F.array_max("prediction")).alias("p"))
+
+
+_HG = " + ".join(f"g{k} * ln(greatest(g{k}, {TINY}))" for k in range(K))
+
+
+@query("effective_dimensions", f"{BASE} SELECT 'gamma0' AS name, round(avg(exp(-({_HG}))), 6) AS value FROM ga UNION ALL SELECT 'features', round(exp(-(" + " + ".join(f"{_d(w)} * ln({_d(w)})" for w in W) + ")), 6)")
+def effective_dimensions(spark, sf_dir):
+    found = reporting.effective_dimensions(_fixed(), read(spark, sf_dir, "lineitem"))
+    return spark.createDataFrame(list(found.items()), "name string, value double").select("name", r6("value").alias("value"))
+
+
+_WEIGHTS = "w AS (SELECT * FROM (VALUES " + ", ".join(f"({d}, {_d(w)})" for d, w in enumerate(W)) + ") v(feature, weight))"
+
+
+@query("active_features", f"WITH {_WEIGHTS} SELECT feature FROM w WHERE weight * (SELECT count(*) FROM w) > 0.6")
+def active_features(spark, sf_dir):
+    return spark.createDataFrame([(d,) for d in reporting.active_features(_fixed(), 0.6)], "feature int")
+
+
+@query("feature_importances", f"WITH {_WEIGHTS} SELECT feature, round(weight, 6) AS value FROM w")
+def feature_importances(spark, sf_dir):
+    return spark.createDataFrame([(d, float(v)) for d, v in enumerate(reporting.feature_importances(_fixed()))], "feature int, value double").select("feature", r6("value").alias("value"))
+
+
+@query("count_parameters", f"WITH n AS (SELECT count(*) AS n FROM lineitem) SELECT 'free' AS kind, CAST({K * D} + {D} - 1 + {K} * (3 - 1) AS BIGINT) AS value UNION ALL SELECT 'raw', CAST({K * D} + {D} + {K} * 3 AS BIGINT) UNION ALL SELECT 'free with shares', CAST({K * D} + {D} - 1 + {K} * (3 - 1) + n * ({K} - 1) AS BIGINT) FROM n")
+def count_parameters(spark, sf_dir):
+    made = _fixed(rows=read(spark, sf_dir, "lineitem").count())
+    rows = [("free", reporting.count_parameters(made)), ("raw", reporting.count_parameters(made, raw=True)), ("free with shares", reporting.count_parameters(made, affiliations=True))]
+    return spark.createDataFrame(rows, "kind string, value long")
+
+
+@query("target_weights", "SELECT * FROM (VALUES (0, 0.3::DOUBLE), (1, 0.7::DOUBLE)) v(output, value)")
+def target_weights(spark, sf_dir):
+    made = _fixed(out=np.array(CY), W_M=np.array([0.3, 0.7]), regression=True)
+    return spark.createDataFrame([(m, float(v)) for m, v in enumerate(reporting.target_weights(made))], "output int, value double")
+
+
+#: A direction of each cluster, and the price of the distance along it.
+AXES = [[0.5, 0.5, 0.5, 0.5], [0.6, 0.8, 0.0, 0.0], [0.0, 0.0, 0.8, 0.6]]
+ALPHA = 0.15
+
+
+def _manifold() -> N.Network:
+    recipe = R.Recipe.chain(R.ManifoldInput(K=K, subspace_dimension=1, alpha=ALPHA, epsilon=TEMP), R.ClassificationHead(), delta=DELTA)
+    return replace(_fixed(U=np.array(AXES)[:, :, None], alpha=ALPHA), recipe=recipe)
+
+
+def _along(k: int) -> str:
+    return "(" + " + ".join(f"{_d(AXES[k][d])} * (x{d} - {_d(C[k][d])})" for d in range(D)) + ")"
+
+
+_MANIFOLD = f"WITH {LI}, al AS (SELECT *, " + ", ".join(f"{_along(k)} AS a{k}" for k in range(K)) + " FROM li), di AS (SELECT *, " + ", ".join(f"({_d(1 + ALPHA)} * {_dist(k, False)} - a{k} * a{k}) / {D} AS d{k}" for k in range(K)) + f" FROM al), ga AS (SELECT *, {_soft('d', _d(TEMP))} FROM di)"
+
+
+@query("manifold_cost", f"{_MANIFOLD} " + _long([f"d{k}" for k in range(K)], "ga"))
+def manifold_cost(spark, sf_dir):
+    return spread(_manifold().affiliations(read(spark, sf_dir, "lineitem")), "cost")
+
+
+@query("manifold_project", f"{_MANIFOLD} " + _long([" + ".join(f"g{k} * ({_d(C[k][d])} + {_d(AXES[k][d])} * a{k})" for k in range(K)) for d in range(D)], "ga", "d"))
+def manifold_project(spark, sf_dir):
+    return spread(_manifold().reconstruct(read(spark, sf_dir, "lineitem")), "reconstruction", at="d")
+
+
+@query("manifold_importances", f"{_MANIFOLD}, m AS (SELECT " + ", ".join(f"avg(g{k}) AS m{k}" for k in range(K)) + " FROM ga) " + " UNION ALL ".join(f"SELECT {d} AS feature, round(" + " + ".join(f"m{k} * {_d(AXES[k][d] ** 2)}" for k in range(K)) + ", 6) AS value FROM m" for d in range(D)))
+def manifold_importances(spark, sf_dir):
+    found = reporting.feature_importances(_manifold(), read(spark, sf_dir, "lineitem"))
+    return spark.createDataFrame([(d, float(v)) for d, v in enumerate(found)], "feature int, value double").select("feature", r6("value").alias("value"))
+
+
+_CUT = [[OUT[m][k] / sum(OUT[m][j] for j in (0, 2)) for k in (0, 2)] for m in range(3)]
+
+
+@query("prune_clusters", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {m}, round({_d(v)}, 6))" for m, row in enumerate(_CUT) for i, v in enumerate(row)) + ") v(cluster, class, share)")
+def prune_clusters(spark, sf_dir):
+    """A head that is normalised over clusters, after the one without mass is gone."""
+    run = N.Fit(read(spark, sf_dir, "region"), _fixed().params)
+    run.axes = [1]
+    run.prune(0, np.array([3.0, 0.0, 2.0]))
+    rows = [(i, m, float(v)) for m, row in enumerate(run.p.out) for i, v in enumerate(row)]
+    return spark.createDataFrame(rows, "cluster int, class int, share double").select("cluster", "class", r6("share").alias("share"))
+
+
 def _classified(spark: SparkSession, sf_dir: str, recipe: R.Recipe, **options) -> tuple[DataFrame, N.Network]:
     df = _rows_of_lineitem(spark, sf_dir)
     return df, _fit(df, recipe, "l_returnflag", continuous=[c for c, _, _ in BOUNDS], categorical=["l_linestatus"], **options)

@@ -117,23 +117,58 @@ def projectors(staged: DataFrame, centres: np.ndarray, d: int) -> np.ndarray:
     return out
 
 
+#: Geometric groupings that are tried beside the merges.
+GEOMETRIC_DRAWS = 8
+
+
+def _label_loss(v: np.ndarray) -> float:
+    s = v.sum()
+    p = v / s if s > 0 else v
+    return float(-s * (p[p > 0] * np.log(p[p > 0])).sum())
+
+
+def grouping_loss(group: np.ndarray, labels: np.ndarray, masses: np.ndarray, regression: bool) -> float:
+    """What the labels cost if clusters of one group share a prediction, from their sums alone."""
+    onto = np.eye(group.max() + 1)[:, group]
+    sums, mass = onto @ labels, np.maximum(onto @ masses, A.TINY)
+    return -float((sums**2 / mass[:, None]).sum()) if regression else sum(_label_loss(v) for v in sums)
+
+
+def group_source(points: np.ndarray, masses: np.ndarray, groups: int, rng: np.random.Generator) -> np.ndarray:
+    """Group of each cluster by the nearest of several representatives, drawn in turn by mass times square distance; each represents itself."""
+    chosen: list[int] = []
+    for _ in range(min(groups, len(points))):
+        near = np.min([((points - points[c]) ** 2).sum(1) for c in chosen], axis=0) if chosen else np.ones(len(points))
+        chance = masses * near
+        chance[chosen] = 0.0
+        if chance.sum() <= 0:  # nothing but copies is left
+            chance = np.ones(len(points))
+            chance[chosen] = 0.0
+        chosen.append(int(rng.choice(len(points), p=chance / chance.sum())))
+    group = np.argmin([((points - points[c]) ** 2).sum(1) for c in chosen], axis=0)
+    group[chosen] = np.arange(len(chosen))
+    return group
+
+
+def best_grouping(labels: np.ndarray, masses: np.ndarray, points: np.ndarray, groups: int, weights: tuple[float, ...], regression: bool, seed: int) -> np.ndarray:
+    """Of a merge for each weight of geometry and several geometric draws, the grouping whose labels cost least; earlier ones win ties, merges first."""
+    made = [merge_groups(labels, masses, points, groups, w, regression) for w in weights]
+    made += [group_source(points, masses, groups, np.random.default_rng(sub_seed(seed, f"group{i}"))) for i in range(GEOMETRIC_DRAWS)]
+    return min(made, key=lambda g: grouping_loss(g, labels, masses, regression))
+
+
 def merge_groups(labels: np.ndarray, masses: np.ndarray, points: np.ndarray, groups: int, geometry: float, regression: bool) -> np.ndarray:
     """Group of each cluster after merging pairs of least rise in label loss plus geometry * Ward cost."""
     sums, mass, centre = labels.copy(), masses.copy(), points.copy()
     live, group = list(range(len(mass))), np.arange(len(mass))
 
-    def loss(v: np.ndarray) -> float:
-        s = v.sum()
-        p = v / s if s > 0 else v
-        return float(-s * (p[p > 0] * np.log(p[p > 0])).sum())
-
     def rise(a: int, b: int) -> float:
         ward = mass[a] * mass[b] / max(mass[a] + mass[b], A.TINY)
         if regression:
             apart = sums[a] / max(mass[a], A.TINY) - sums[b] / max(mass[b], A.TINY)
             label = ward * float(apart @ apart)
         else:
-            label = loss(sums[a] + sums[b]) - loss(sums[a]) - loss(sums[b])
+            label = _label_loss(sums[a] + sums[b]) - _label_loss(sums[a]) - _label_loss(sums[b])
         return max(label, 0.0) + geometry * ward * float(((centre[a] - centre[b]) ** 2).sum())
 
     while len(live) > groups:
@@ -146,8 +181,8 @@ def merge_groups(labels: np.ndarray, masses: np.ndarray, points: np.ndarray, gro
     return np.searchsorted(sorted(set(group)), group)
 
 
-def connect(run, staged: DataFrame, s0: dict, p) -> None:
-    """Transitions into the hidden blocks: identity, label-aware merges, or spread profiles."""
+def connect(run, staged: DataFrame, s0: dict, p, seed: int = 0) -> None:
+    """Transitions into the hidden blocks: identity, the best of label-aware merges and geometric groupings, or spread profiles."""
     mass = np.maximum(s0["m"], A.TINY)
     labels = (s0["head"] if "head" in s0 else _label_sums(run, p)).T
     points = np.hstack([p.C * np.sqrt(p.W[: p.C.shape[1]] if len(p.W) else 1.0), *[q * np.sqrt(p.W[p.C.shape[1] + j]) for j, q in enumerate(p.P)]])
@@ -156,7 +191,8 @@ def connect(run, staged: DataFrame, s0: dict, p) -> None:
         if to == of:
             group = np.arange(of)
         elif to < of:
-            group = merge_groups(labels, mass, points, to, 1e-3 if n == len(p.thetas) - 1 else 1.0, p.regression)
+            weights = (1e-3, 1.0) if n == len(p.thetas) - 1 else (1.0,)
+            group = best_grouping(labels, mass, points, to, weights, p.regression, sub_seed(seed, f"hidden{n}"))
         else:
             group = np.arange(of)
         made = np.full((to, of), 0.05 / to)

@@ -8,6 +8,7 @@ learned instance weights shares follow from parameters alone, and no state is ke
 
 from __future__ import annotations
 
+import copy
 import math
 import pickle
 import warnings
@@ -49,8 +50,15 @@ class PredictConfig:
     epsilon_P: float | None = None
     tol: float = 1e-4
     max_iter: int = 100
+    #: Where iterative predictions start: None is the single pass; arithmetic or uniform (classes),
+    #: mean (regression), a whole number as the seed of random shares, or column:<name> of given ones.
+    start: str | int | None = None
 
     def __post_init__(self) -> None:
+        if self.start is not None and self.mode != "iterative":
+            raise ValueError("start needs iterative prediction")
+        if isinstance(self.start, str) and self.start not in ("arithmetic", "uniform", "mean") and not self.start.startswith("column:"):
+            raise ValueError("start is arithmetic, uniform, mean, column:<name> or a seed")
         if self.mode not in ("single", "iterative") or self.readout not in ("geometric", "arithmetic"):
             raise ValueError("mode is single or iterative, readout geometric or arithmetic")
 
@@ -68,11 +76,24 @@ class Network:
     log_partition: float = 0.0
     least: float = 0.0
     state: DataFrame | None = None
+    sums: dict[int, dict] | None = None  # of every block as its rows stand, as large as the parameters
+    stored: list[int] = field(default_factory=list)  # widths of the kept rows' shares, and what is left of them
+    keep: list[np.ndarray] = field(default_factory=list)
     members: list[Network] = field(default_factory=list)
 
     def __getstate__(self) -> dict:
         """For pickle and copy: everything but the kept rows, which live in Spark."""
-        return {**self.__dict__, "state": None}
+        return {**self.__dict__, "state": None, "sums": None}
+
+    @property
+    def can_resume(self) -> bool:
+        """Whether the rows and sums that a fit would go on from were kept (keep_rows), and it has not settled."""
+        return self.state is not None and self.sums is not None and not self.converged
+
+    @property
+    def initial_state(self) -> N.Params:
+        """A detached copy of the parameters, to start another fit from."""
+        return copy.deepcopy(self.params)
 
     # --- forward pass as expressions; row-local, so a stream can be transformed too ---------
     def _distance(self) -> Column:
@@ -104,6 +125,8 @@ class Network:
         if p.regression:
             return A.through(gamma, p.out.tolist())
         if config.readout == "arithmetic":
+            if self.recipe.as_chain()[2].coupling == "S":
+                raise ValueError("an arithmetic read-out needs an M head")
             return A.arithmetic_readout(gamma, p.out.tolist())
         e = config.epsilon_P if config.epsilon_P is not None else p.deltas[-1]
         return A.geometric_readout(gamma, p.out.tolist(), p.deltas[-1], e)
@@ -261,6 +284,7 @@ class Fit:
         self.state: DataFrame | None = None
         self.stored, self.keep = [], []
         self.scans = 0
+        self.borrowed: DataFrame | None = None  # rows of a network that stays as it is
 
     def scan(self, n: int, coupled: bool = True, through: bool = False) -> dict[str, np.ndarray]:
         """Refresh block n (through: and every block behind it) and return the merged sums of block n."""
@@ -315,7 +339,7 @@ class Fit:
         total = None
         for r in few.collect():
             total = N.merged(total, pickle.loads(r["part"]))
-        if old is not None and not self.stateless:
+        if old is not None and old is not self.borrowed and not self.stateless:
             old.unpersist()
         return total
 
@@ -407,11 +431,13 @@ def _input_loss(p: N.Params, s: dict, rows: int) -> float:
     return float(out)
 
 
-def fit(df: DataFrame, recipe: Recipe, target: str | Sequence[str], continuous: Sequence[str] = (), categorical: Sequence[str] = (), *, row_id: str, weight: str | None = None, class_weights: dict | None = None, task_weights: Column | None = None, layout: staging.Layout | None = None, centres: np.ndarray | None = None, levels: Sequence[np.ndarray] | None = None, max_iter: int = 100, tol: float = 1e-4, seed: int = 0, config: PredictConfig | None = None, keep_rows: bool = False, start: N.Params | None = None, calibrate: bool = False, init_rows: Sequence | None = None, projectors: np.ndarray | None = None, logger: Callable[[int, float], None] | None = None) -> Network:
+def fit(df: DataFrame, recipe: Recipe, target: str | Sequence[str], continuous: Sequence[str] = (), categorical: Sequence[str] = (), *, row_id: str, weight: str | None = None, class_weights: dict | None = None, task_weights: Column | None = None, layout: staging.Layout | None = None, centres: np.ndarray | None = None, levels: Sequence[np.ndarray] | None = None, max_iter: int = 100, tol: float = 1e-4, seed: int = 0, config: PredictConfig | None = None, keep_rows: bool = False, start: N.Params | None = None, calibrate: bool = False, init_rows: Sequence | None = None, projectors: np.ndarray | None = None, logger: Callable[[int, float], None] | None = None, initial_state: N.Params | None = None) -> Network:
     """Fit a chain of blocks by exact block-coordinate descent. Features are scaled by the layout; row_id names each row for good.
 
     init_rows: ids of rows whose features are the first centres. projectors: bases (K, D, d) of a
     manifold input, made orthonormal. logger is told each iteration and its loss, from 0.
+    initial_state: parameters of another network; groups that fit this one are taken over, with a
+    warning for each that does not (start takes all of them as they are).
     """
     first, hidden, head, links = recipe.as_chain()
     layout = layout or staging.fit_layout(df, continuous, categorical)
@@ -426,26 +452,45 @@ def fit(df: DataFrame, recipe: Recipe, target: str | Sequence[str], continuous:
     if init_rows is not None:
         centres, levels = _of_rows(staged, list(init_rows), first.K, layout)
     p = start or _start(staged, first, hidden, head, links, layout, rows, centres, levels, seed, regression, classes, projectors)
+    if initial_state is not None:
+        p = reuse(initial_state, p)
     run = Fit(staged, p)
-    run.axes = [0 if (c.coupling or "M") == "M" else 1 for c in links[:-1]] + [0 if regression or head.coupling == "M" else 1]
-    priors = [(c.theta_alpha or 1.0) - 1 for c in links[:-1]] + [0.0 if regression else head.theta_alpha - 1]
-    sizes = [t.size for t in p.thetas] + [p.out.size]
-    priors = [a / n for a, n in zip(priors, sizes, strict=True)]
+    run.axes, priors = _couplings(p, head, links)
     last = len(p.thetas)
 
     # start: shares without couplings, exact categorical centres, then the chain
     s0 = run.scan(0, coupled=False, through=True)
     if start is None:
         p.P = [N.normalised(s0[f"c{j}"], 1) for j in range(len(p.P))]
-        if hidden:
-            seeding.connect(run, staged, s0, p)
+        if hidden and not (initial_state is not None and _alike(initial_state.thetas, p.thetas)):
+            _capacity(hidden, links, len(p.C), rows)
+            seeding.connect(run, staged, s0, p, seed)
             s0 = run.scan(0, coupled=False, through=True)
     by = {0: _kept(s0, run.prune(0, s0["alive"]), 0)}
     for n in range(1, last + 1):
         by[n] = _sums_of(run, n)
-    losses, done = [], False
     p.shift = float(by[0]["b"][0]) if math.isfinite(p.epsilon_T) else 0.0
     by[0]["ub"] = np.zeros(1)  # instance weights are the sample weights so far
+    losses: list[float] = []
+    done = _optimise(run, by, losses, first, head, priors, rows, max_iter, tol, logger)
+    if not done and max_iter:
+        warnings.warn("max_iter was reached before tol", ConvergenceWarning, stacklevel=2)
+    out = Network(recipe, layout, p, losses, done, config or PredictConfig(), rows, classes, math.log(p.mass * rows) if math.isfinite(p.epsilon_T) else 0.0, p.shift)
+    if keep_rows:
+        out.state = run.state if run.state is not None else staged
+        out.sums, out.stored, out.keep = by, list(run.stored), list(run.keep)
+    else:
+        staged.unpersist()
+        if run.state is not None:
+            run.state.unpersist()
+    if calibrate and not regression:
+        out = out.calibrated(df, target)
+    return out
+
+
+def _optimise(run: Fit, by: dict[int, dict], losses: list[float], first, head, priors: list[float], rows: int, max_iter: int, tol: float, logger: Callable[[int, float], None] | None) -> bool:
+    """Iterate from the sums of every block until the loss settles (True) or it holds max_iter steps; by, losses and the parameters follow in place."""
+    p, last, regression = run.p, len(run.p.thetas), run.p.regression
 
     def loss() -> tuple[float, float]:
         out = _input_loss(p, by[0], rows) - sum(e * float(by[n]["entropy"][0]) for n, e in enumerate(p.epsilons))
@@ -468,9 +513,9 @@ def fit(df: DataFrame, recipe: Recipe, target: str | Sequence[str], continuous:
             offset += head.epsilon_M * math.log(len(p.out))
         return out, offset
 
-    for k in range(max_iter):
+    for k in range(len(losses) - 1 if losses else 0, max_iter):
         _head_update(p, by[last], run.axes[-1], priors[-1], head.epsilon_M if regression else math.inf)
-        if not k:
+        if not losses:
             losses.append(loss()[0])
             if logger:
                 logger(0, losses[0])
@@ -488,19 +533,76 @@ def fit(df: DataFrame, recipe: Recipe, target: str | Sequence[str], continuous:
         if logger:
             logger(k + 1, now)
         if abs(now - losses[-2]) / max(abs(losses[-2] + offset), N.EPS) <= tol:
-            done = True
-            break
-    if not done and max_iter:
+            return True
+    return False
+
+
+def _couplings(p: N.Params, head, links: list) -> tuple[list[int], list[float]]:
+    """The axis that each transition is normalised over, and its pseudocount for an entry."""
+    axes = [0 if (c.coupling or "M") == "M" else 1 for c in links[:-1]] + [0 if p.regression or head.coupling == "M" else 1]
+    alphas = [(c.theta_alpha or 1.0) - 1 for c in links[:-1]] + [0.0 if p.regression else head.theta_alpha - 1]
+    return axes, [a / n for a, n in zip(alphas, [*(t.size for t in p.thetas), p.out.size], strict=True)]
+
+
+def _capacity(hidden: list, links: list, width: int, rows: int) -> None:
+    """Raises if a hidden block that needs rows for its profiles (S couplings, or more clusters than before it) has too few."""
+    for block, link in zip(hidden, links, strict=False):
+        if (link.coupling == "S" or width < block.K) and rows < block.K:
+            raise ValueError(f"{block.name} needs {block.K} rows for its profiles and there are {rows}")
+        width = block.K
+
+
+def _alike(a: list, b: list) -> bool:
+    return [x.shape for x in a] == [x.shape for x in b]
+
+
+def reuse(old: N.Params, new: N.Params) -> N.Params:
+    """new with the groups of old that fit it: input (or its first clusters, if it had more), transitions and head; warns of the rest."""
+    def fits(name: str, ok: bool) -> bool:
+        if not ok:
+            warnings.warn(f"{name} of the initial state does not fit and is made afresh", UserWarning, stacklevel=4)
+        return ok
+
+    out, K = replace(new), len(new.C)
+    same_kind = (old.U is None) == (new.U is None) and (old.U is None or old.U.shape[1:] == new.U.shape[1:])
+    if fits("the input", same_kind and old.C.shape[1] == new.C.shape[1] and [q.shape[1] for q in old.P] == [q.shape[1] for q in new.P] and len(old.C) >= K):
+        out.C, out.P, out.W = old.C[:K].copy(), [q[:K].copy() for q in old.P], old.W.copy()
+        out.U = old.U[:K].copy() if old.U is not None else None
+    if new.thetas and fits("the transitions", _alike(old.thetas, new.thetas)):
+        out.thetas = [t.copy() for t in old.thetas]
+    if fits("the head", old.regression == new.regression and old.out.shape == new.out.shape):
+        out.out = old.out.copy()
+        out.W_M = old.W_M.copy() if old.W_M is not None and new.W_M is not None else new.W_M
+    return out
+
+
+def initialise(df: DataFrame, recipe: Recipe, target: str | Sequence[str], continuous: Sequence[str] = (), categorical: Sequence[str] = (), *, row_id: str, **options) -> Network:
+    """The network that a fit would start from: staged, seeded and pruned, with no step taken; it can be resumed."""
+    return fit(df, recipe, target, continuous, categorical, row_id=row_id, max_iter=0, keep_rows=True, **options)
+
+
+def go_on(network: Network, *, max_iter: int = 100, tol: float = 1e-4, logger: Callable[[int, float], None] | None = None) -> Network:
+    """Go on from where a fit that kept its rows stood, as if it had not stopped.
+
+    max_iter is the ceiling of all steps, those taken before included; losses are appended. A
+    network that has settled takes no step. The given network stays as it is.
+    """
+    if network.converged:
+        return network
+    if not network.can_resume:
+        raise ValueError("the network kept no rows to go on from")
+    first, _, head, links = network.recipe.as_chain()
+    p, by, losses = copy.deepcopy(network.params), copy.deepcopy(network.sums), list(network.losses)
+    run = Fit(network.state, p)
+    run.axes, priors = _couplings(p, head, links)
+    if not run.stateless:
+        run.state, run.stored, run.keep, run.borrowed = network.state, list(network.stored), list(network.keep), network.state
+    done = _optimise(run, by, losses, first, head, priors, network.rows, max_iter, tol, logger)
+    if not done:
         warnings.warn("max_iter was reached before tol", ConvergenceWarning, stacklevel=2)
-    out = Network(recipe, layout, p, losses, done, config or PredictConfig(), rows, classes, math.log(p.mass * rows) if math.isfinite(p.epsilon_T) else 0.0, p.shift)
-    if keep_rows:
-        out.state = run.state if run.state is not None else staged
-    else:
-        staged.unpersist()
-        if run.state is not None:
-            run.state.unpersist()
-    if calibrate and not regression:
-        out = out.calibrated(df, target)
+    out = replace(network, params=p, losses=losses, converged=done, sums=by, least=p.shift, log_partition=math.log(p.mass * network.rows) if math.isfinite(p.epsilon_T) else 0.0)
+    if not run.stateless:
+        out.state, out.stored, out.keep = run.state, list(run.stored), list(run.keep)
     return out
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators import staging
+from lattica.functions import arrays as A
+from lattica.operators import seeding, staging
 from lattica.plans import kernel as N
 
 
@@ -30,16 +32,48 @@ def _objective(p: N.Params, rows: N.Rows, d: np.ndarray) -> np.ndarray:
 
 
 
+def _starts(network, given: DataFrame, config) -> Column:
+    """The first predictions by config.start: given shares or random ones, else an empty array."""
+    p, start = network.params, config.start
+    n = len(p.out)
+    none = F.array().cast("array<double>")
+    if p.regression and start in ("arithmetic", "uniform") or not p.regression and start == "mean":
+        raise ValueError(f"{start} is no start of this head")
+    if start == "arithmetic" and network.recipe.as_chain()[2].coupling == "S":
+        raise ValueError("an arithmetic start needs an M head")
+    if isinstance(start, str) and start.startswith("column:"):
+        value = F.col(f"`{start[7:]}`").cast("array<double>")
+        fine = (F.size(value) == n) & F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        if not p.regression:
+            fine = fine & staging.on_simplex(value)
+        return F.when(fine, value).otherwise(F.raise_error(F.lit("a row has no start of the right size and sum")).cast("array<double>"))
+    if isinstance(start, int):  # uniform on the simplex; for regression of clusters, which centroids turn into a value
+        parts = len(p.out[0]) if p.regression else n
+        row = F.hash("x", "codes")
+        made = A.normalise(F.array(*[-F.ln(seeding.uniform(row, start, i)) for i in range(parts)]))
+        return A.through(made, p.out.tolist()) if p.regression else made
+    return none
+
+
 def refined(network, df: DataFrame, config) -> DataFrame:
     """df with prediction (and label). Rows do not meet, but the stopping rule is on the mean of the batch, so this is for whole batches and no stream."""
     p, widths = network.params, network.params.widths
     epsilon = config.epsilon_P if config.epsilon_P is not None else p.deltas[-1]
     recover, rows_fitted, least, log_partition = np.isfinite(p.epsilon_T), network.rows, network.least, network.log_partition
     given = staging.replay_layout(df, network.layout).withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    state = given.select("_row", "x", "codes", F.array().cast("array<double>").alias("s"), F.lit(1.0).alias("u"), F.array().cast("array<double>").alias("prediction"), F.lit(0.0).alias("cost"))
+    state = given.select("_row", "x", "codes", F.array().cast("array<double>").alias("s"), F.lit(1.0).alias("u"), _starts(network, given, config).alias("prediction"), F.lit(0.0).alias("cost"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields)
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def started(b: pd.DataFrame, gamma: np.ndarray) -> np.ndarray:
+        if how in ("uniform", "mean"):
+            return np.tile(p.out.mean(1) if p.regression else np.full(len(p.out), 1 / len(p.out)), (len(b), 1))
+        if how == "arithmetic":
+            return N.normalised(gamma @ p.out.T, 1)
+        return np.stack(b["prediction"].to_numpy()).astype(float) if how is not None else _predicted(p, gamma, epsilon)
+
+    how = config.start
+
+    def step(given_starts: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
@@ -51,10 +85,10 @@ def refined(network, df: DataFrame, config) -> DataFrame:
                 rows.gammas = [N.assign(d, p.epsilons[0])]
                 for n, theta in enumerate(p.thetas):
                     rows.gammas.append(N.assign(-p.deltas[n] * rows.gammas[n] @ N.floored(theta).T, p.epsilons[n + 1]))
-                rows.q = _predicted(p, rows.gammas[-1], epsilon)
+                rows.q = started(b, rows.gammas[-1])
             else:
                 rows.gammas = np.split(np.stack(b["s"].to_numpy()), np.cumsum(widths)[:-1], axis=1)
-                rows.q = _predicted(p, rows.gammas[-1], epsilon)
+                rows.q = np.stack(b["prediction"].to_numpy()).astype(float) if given_starts else _predicted(p, rows.gammas[-1], epsilon)
                 for n in range(len(p.thetas), 0, -1):
                     cost = -p.deltas[n - 1] * rows.gammas[n - 1] @ N.floored(p.thetas[n - 1]).T
                     rows.gammas[n] = N.assign(cost + N.outgoing(p, rows, n), p.epsilons[n])
@@ -66,7 +100,7 @@ def refined(network, df: DataFrame, config) -> DataFrame:
 
     last = None
     for k in range(config.max_iter + 1):
-        old, state = state, state.mapInPandas(step, kind).persist(StorageLevel.MEMORY_AND_DISK)
+        old, state = state, state.mapInPandas(partial(step, k == 1 and how is not None), kind).persist(StorageLevel.MEMORY_AND_DISK)
         mean = state.agg(F.avg("cost")).first()[0]
         if k:
             old.unpersist()
