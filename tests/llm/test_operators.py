@@ -312,6 +312,36 @@ def test_a_large_host_does_not_bring_lines_back(spark):
     assert got == {i: int(i < 12) for i in range(80)}
 
 
+def test_verdicts_equal_brute_force(spark):
+    """kept by a count of documents for each line of a host, written apart from the operator."""
+    r = random.Random(12)
+    shared = [prose(r, r.randint(4, 45)).replace("\n", " ").strip() for _ in range(8)]
+    rows = []
+    for i in range(120):
+        lines = [prose(r, r.randint(15, 45)).replace("\n", " ").strip() for _ in range(r.randint(1, 3))] + r.sample(shared, r.randint(0, 4))
+        r.shuffle(lines)
+        rows.append((i, "\n".join(lines), "en", r.choice(["a", "a", "b", None]), 1))
+    rows += [rows[5], rows[9], (200, None, "en", "a", 1), (201, "", None, None, None), (202, "\n \n", "en", "b", 1)]
+    held, size = {}, {}
+    for i, t, _, host, _ in rows:
+        size.setdefault(host, set()).add(i)
+        for line in {re.sub(" +", " ", x) for x in (t or "").split("\n")} - {"", " "}:
+            held.setdefault((host, line), set()).add(i)
+    limit, share, most = 6, 0.1, 15
+    gone = {k for k, d in held.items() if (len(d) > limit and len(d) > share * len(size[k[0]])) or len(d) > most}
+    assert 3 <= len(gone) < 24
+    want = []
+    for i, t, _, host, _ in rows:
+        n, _, _, _, again = brute_base(t or "")
+        cut = [x for x in (t or "").split("\n") if (host, re.sub(" +", " ", x)) in gone]
+        lost = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in cut)
+        bad = n < 50 or 100 * again > 50 * n
+        want.append((i, len(cut), lost, not bad and lost <= 0.5 * n and n - lost >= quality.LEAST_LEFT))
+    got = quality.judge(frame(spark, rows), line_docs=limit, line_share=share, most_docs=most).collect()
+    assert in_order([(x.doc_id, x.n_removed_lines, x.n_removed_words, x.kept) for x in got]) == in_order(want)
+    assert {k for *_, k in want} == {True, False}
+
+
 # --- personal data -----------------------------------------------------------------------------------
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -466,5 +496,38 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "sentence_spans", "pii", "packing"]
 
 
+def test_pipeline_drops_toxic_rows_and_redacts(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    r = random.Random(21)
+    secret = 'token = "9f3b0c6a43eb78aa99cbd7049c572391524f37a8"'
+    rows, labels = [], []
+    for i in range(600):
+        text = prose(r, r.randint(40, 90))
+        if i % 6 == 0:
+            text += f" vile{r.choice('abc')} {prose(r, 9)} vilea veryvile"
+        if i % 10 == 3:
+            text += " write to jo.b@ex-1.org or +1 (555) 010-2030 now"
+        if i % 10 == 7:
+            text += f" then {secret} there"
+        rows.append((i, text, "en", "s", len(text)))
+        if i % 2 == 0:
+            labels.append((i, 1, int(i % 6 == 0)))
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    total = {}
+    for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        total[x.doc_id] = total.get(x.doc_id, 0) + x.length
+    clean = {i for i in range(600) if i % 6}
+    assert clean <= set(total) and len(set(total) - clean) <= 1
+    text = dict(brute_spans([x for x in rows if x[0] in total]))
+    tok = Tokenizer.from_file(corpus_pipeline.public_tokenizers.path(corpus_pipeline.BYTE_BPE))
+    for i, t in text.items():
+        t = t.replace("jo.b@ex-1.org", "[EMAIL]").replace("+1 (555) 010-2030", "[PHONE]")
+        wanted = {len(tok.encode(t.replace(secret, s), add_special_tokens=False).ids) + 1 for s in ("[SECRET]", "token = \"[SECRET]\"")}
+        assert total[i] in wanted, i
+
+
 def test_sha_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
