@@ -440,6 +440,8 @@ def fit(df: DataFrame, recipe: Recipe, target: str | Sequence[str], continuous:
     warning for each that does not (start takes all of them as they are).
     """
     first, hidden, head, links = recipe.as_chain()
+    if first.epsilon_T == 0:
+        raise ValueError("hard instance weights (epsilon_T = 0) cannot be fitted")
     layout = layout or staging.fit_layout(df, continuous, categorical)
     regression = isinstance(head, RegressionHead)
     classes = None

@@ -72,7 +72,7 @@ def effective_dimensions(network: Network, df: DataFrame, share: bool = False) -
 
 def describe(network: Network) -> str:
     lines = [f"{type(b).__name__} {b.name}" for b in network.recipe.blocks]
-    return "\n".join([*lines, f"clusters {network.params.widths}", f"loss {network.losses[-1]:.6g} after {len(network.losses) - 1} iterations, {'converged' if network.converged else 'not converged'}"])
+    return "\n".join([*lines, f"clusters {network.params.widths}", f"loss {network.losses[-1]:.6g} after {len(network.losses) - 1} iterations, {'converged' if network.converged else 'not converged'}" if network.losses else "no step taken"])
 
 
 def loss_frame(spark: SparkSession, network: Network) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import seeding
 from lattica.plans import network as NW
+from lattica.plans import reporting
 from lattica.plans.recipe import ClassificationHead, Hidden, Input, Recipe, RegressionHead
 
 KEYS = {"continuous": ["a", "b"], "categorical": ["c"], "row_id": "id"}
@@ -56,9 +57,16 @@ def test_initialise_then_go_on_is_a_fit(rows):
     recipe, target = CHAINS["hidden"]
     start = NW.initialise(rows, recipe, target, **KEYS)
     assert start.losses == [] and not start.converged and start.can_resume
+    assert "no step taken" in reporting.describe(start)
     assert np.allclose(_quiet(NW.go_on, start, max_iter=3, tol=0.0).losses, _quiet(NW.fit, rows, recipe, target, **KEYS, max_iter=3, tol=0.0).losses)
 
 
+def test_hard_instance_weights_are_refused(rows):
+    recipe = Recipe.chain(Input(K=2, epsilon=0.02, epsilon_T=0.0), ClassificationHead(), delta=0.3)
+    with pytest.raises(ValueError, match="hard instance weights"):
+        NW.fit(rows, recipe, "y", **KEYS)
+
+
 def test_what_cannot_go_on(rows):
     recipe, target = CHAINS["flat"]
     made = NW.fit(rows, recipe, target, **KEYS, tol=1e-3, keep_rows=True)
