@@ -173,23 +173,23 @@ class Chunk:
             for k in range(8, self.gram, 8):
                 key = _mixed(key ^ step(words, k))
             del words
-            key = (key & ~np.uint64(63)) | (np.arange(n) & 63).astype(np.uint64)
+            # of equal pieces of a window the first one, wherever the window stands
+            least = (key & ~np.uint64(0xFFFFFFFF)) | np.arange(n, dtype=np.uint64)
             span, reach = length - self.gram + 1, 1  # pieces of a window; how many the minimum covers
-            least = key
             while 2 * reach <= span:
                 least = np.minimum(least, step(least, reach))
                 reach *= 2
             least = np.minimum(least, step(least, span - reach)) if span > reach else least
             s = np.flatnonzero(np.arange(n) + length <= ends[of])
-            least = least[s]
-            place = s + ((least & np.uint64(63)).astype(np.int64) - s) % 64
+            place = (least[s] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            del least
             new = np.append(True, (place[1:] != place[:-1]) | (s[1:] != s[:-1] + 1) | (of[s[1:]] != of[s[:-1]]))[: len(s)]
             runs = np.flatnonzero(new)
             if len(runs):
                 self.first, self.last, self.place = s[runs], s[np.append(runs[1:], len(s)) - 1], place[runs]
                 self.doc = of[self.first].astype(np.int64)
                 # least hashes are small numbers; mixed again they spread evenly over ranges
-                hashes = _mixed(least[runs] | np.uint64(63)) >> np.uint64(64 - ANCHOR_BITS)
+                hashes = _mixed(key[self.place]) >> np.uint64(64 - ANCHOR_BITS)
         self.anchors, self.which = np.unique(hashes, return_inverse=True)
 
     def edges(self, ranges: int) -> np.ndarray:

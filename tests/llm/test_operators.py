@@ -114,6 +114,14 @@ def test_windows_of_any_length(length, monkeypatch):
             at += n
 
 
+def test_windows_of_repeating_pieces(spark):
+    """A window whose pieces repeat is found wherever it stands in its shard."""
+    parts = ["a" * 50, "a" * 57, "x" * 13 + "ab" * 40, "ab" * 31 + "y", "\0" * 70, "z" + "abc" * 20, "abc" * 30, "q" * 5 + "\0" * 60, "ab" * 25]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(parts * 2)]
+    got = [tuple(r) for r in suffix.dedup(frame(spark, rows).coalesce(1)).collect()]
+    assert in_order([(*r[:4], bytes(r[4])) for r in got]) == in_order(brute_suffix(rows))
+
+
 def test_suffix_array_and_prefixes():
     r = random.Random(1)
     for alphabet in (b"ab", b"abcdef", b"a"):
