@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, near, tidy, whole
+from lattica.llm.common import Scratch, drop_shuffles, near, sieved, tidy, whole
 from lattica.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -184,7 +184,9 @@ def _levels(sets: DataFrame) -> np.ndarray:
 def _tokens(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, n, tokens) of the wanted classes, each once."""
     some = sets.where("tokens is not null and node is not null").select("node", "n", "tokens")
-    return some.join(near(wanted.select(F.col("node").alias("want"))), F.col("node") == F.col("want"), "left_semi").dropDuplicates(["node"])
+    # the sieve keeps the join from shuffling the whole table; a semi-join would be moved below it
+    some = sieved(some, "node", wanted, "node")
+    return some.join(near(wanted.select(F.col("node").alias("want"))), F.col("node") == F.col("want")).drop("want").dropDuplicates(["node"])
 
 
 def _opened(asked: DataFrame, blocks: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -237,6 +239,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     once = sets.where("node is not null and tokens is not null").select("node", "n", "tokens")
     once = once.mapInPandas(described, "node binary, n int, common double, minima array<long>, size int, prefix binary").dropDuplicates(["node"])
     once = scratch.write(once, "described")
+    drop_shuffles(scratch.spark)
     ids = scratch.write(sets.where("block is null").select("id", "h", "n", "node"), "ids")
 
     # groups: what links to common centres joins
@@ -253,6 +256,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         found = scratch.write(_opened(asked.select("a", F.hex("centre").alias("block")), blocks, tokens, percent), f"links-{j}")
         linked = found if linked is None else linked.unionByName(found)
         scratch.drop(f"tokens-{j}")
+        drop_shuffles(scratch.spark)
         # each class has one key and one centre, so the links of a round are stars
         star = (found if j == 0 else components(linked, scratch, "groups").select(F.col("node").alias("a"), F.col("component").alias("b"))).withColumnRenamed("a", "its_node")
         named = once.select("node").join(star.hint("shuffle_merge"), F.col("node") == F.col("its_node"), "left")
@@ -280,18 +284,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     keyed = once.select(F.xxhash64("node").alias("key"), "prefix")
     shared = keyed.select("prefix").mapInPandas(tokens_of, "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("t"))
     shared = scratch.write(shared, "shared")
+    drop_shuffles(scratch.spark)
     some = keyed.mapInPandas(places_of, "token long, of long, place int").join(near(shared), F.col("token") == F.col("t"), "left_semi")
     some = scratch.write(some, "places")
     known = once.select("node", "n").join(grouped.select("node", F.xxhash64("group").alias("g")), "node").withColumn("key", F.xxhash64("node"))
     far = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n")
     some = scratch.write(some.join(known.hint("shuffle_merge"), F.col("of") == F.col("key")).select("token", "node", "g", "n", far.cast("int").alias("reach")), "some")
     scratch.drop("places")
+    drop_shuffles(scratch.spark)
     matrix = some.groupBy(F.col("token").alias("its_token"), F.col("g").alias("its_g")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("its_reach"))
     # the smaller set asks; of equal ones that of the group with the larger name
     fits = (F.col("g") != F.col("its_g")) & (F.col("low") <= F.col("reach")) & (F.col("high") >= F.col("n")) & (F.col("its_reach") >= F.col("n")) & ((F.col("high") > F.col("n")) | (F.col("g") > F.col("its_g")))
     asked = some.where("reach >= n").join(matrix.hint("shuffle_merge"), (F.col("token") == F.col("its_token")) & fits).select(F.col("node").alias("a"), "its_g").distinct()
     asked = scratch.write(asked, "asked")
     scratch.drop("some")
+    drop_shuffles(scratch.spark)
     its = scratch.write(asked.select(F.col("its_g").alias("the_g")).distinct(), "its")
     inside = scratch.write(grouped.select("node", F.xxhash64("group").alias("g")).join(near(its), F.col("g") == F.col("the_g"), "left_semi"), "inside")
     large = scratch.write(inside.groupBy(F.col("g").alias("the_g")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "large")
@@ -301,9 +308,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     queries = scratch.write(asked.join(of_group.hint("shuffle_merge"), F.col("its_g") == F.col("the_g")).select("a", "block"), "queries")
     wanted = scratch.write(queries.select(F.col("a").alias("node")).unionByName(members.select("node")).distinct(), "wanted")
     tokens = scratch.write(_tokens(sets, wanted), "tokens")
+    for name in ("sets", "described", "asked", "shared", "inside"):
+        scratch.drop(name)
+    drop_shuffles(scratch.spark)
     found = scratch.write(_opened(queries, members.select("node", "block"), tokens, percent), "links")
-    for name in ("tokens", "sets", "described", "queries", "members", "asked", "shared", "inside"):
+    for name in ("tokens", "queries", "members"):
         scratch.drop(name)
+    drop_shuffles(scratch.spark)
 
     # links between groups join them
     own, its = grouped.select(F.col("node").alias("a"), F.col("group").alias("ga")), grouped.select(F.col("node").alias("b"), F.col("group").alias("gb"))

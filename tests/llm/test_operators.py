@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import graph, jaccard, licence, pii, quality, queries, spans, suffix, topk, toxicity
+from lattica.llm import common, graph, jaccard, licence, pii, quality, queries, spans, suffix, topk, toxicity
 from lattica.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -138,6 +138,19 @@ def test_suffix_array_and_prefixes():
 
 
 # --- Jaccard ------------------------------------------------------------------------------------
+def test_wanted_tokens_are_sieved_before_they_are_shuffled(spark, monkeypatch):
+    """Where the wanted classes are too many to be broadcast, the exact join shuffles few others; none is lost."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1 << 12)
+    node = F.unhex(F.md5(F.col("id").cast("string"))).alias("node")
+    wanted = spark.range(500).select(node).localCheckpoint()
+    sets = spark.range(20_000).select(node, F.lit(1).alias("n"), F.lit(b"x").alias("tokens")).localCheckpoint()
+    got = jaccard._tokens(sets.unionByName(sets), wanted)
+    assert {bytes(r["node"]) for r in got.collect()} == {bytes(r["node"]) for r in wanted.collect()} and got.count() == 500
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("want#") < plan.index("getbit") and "LeftSemi" not in plan
+    assert common.sieved(sets, "node", wanted, "node").count() < 4000
+
+
 def brute_jaccard(rows):
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = []
