@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import jaccard, packing, pii, spans, toxicity
-from lattica.llm.common import Scratch, table
+from lattica.llm.common import Scratch, drop_shuffles, table
 from lattica.llm.queries import BYTE_BPE
 
 
@@ -22,14 +22,18 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    drop_shuffles(spark)
+    return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_shuffles(spark)
     return jaccard.one_of_each(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_shuffles(spark)
     return _sized(spans.dedup(docs, counts=False))
 
 

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch
+from lattica.llm.common import Scratch, drop_shuffles
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -36,5 +36,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         scratch.drop(f"{name}-{k - 1}")
         if same:
             break
+        if k % 4 == 0:
+            drop_shuffles(scratch.spark)
     scratch.drop(f"{name}-links")
     return labels.withColumnRenamed("label", "component")

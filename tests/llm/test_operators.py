@@ -552,3 +552,17 @@ def test_pipeline_drops_toxic_rows_and_redacts(spark, tmp_path):
 
 def test_sha_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_texts_of_plans_stay_short(spark):
+    from lattica.llm.common import PLAN_TEXT, small_batches
+
+    name = "spark.sql.maxPlanStringLength"
+    old = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "2147483632")
+        assert int(small_batches(spark).conf.get(name)) == PLAN_TEXT
+        spark.conf.set(name, "100")
+        assert small_batches(spark).conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, old)
