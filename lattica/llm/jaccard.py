@@ -9,7 +9,9 @@ have it, with bounds on their members: sizes, and the largest set that a member
 with if that token is the first that both have. A class asks the groups of sets of its size or
 more that these bounds leave; a group's members are laid out in blocks with the union of their
 tokens, and a block is opened only if its union holds as many of the query's tokens as the
-threshold asks of the query. All links are verified on whole sets.
+threshold asks of the query. Before any tokens move, marks of a few bits a token (the tokens of a
+set modulo a power of two, as a bitmap) leave out blocks that cannot be similar: bits of the one
+set that the other lacks are tokens that it lacks. All links are verified on whole sets.
 
 Tokens are ordered by how often they are (as a sketch of fixed size counts them over the whole
 corpus; any order that all sets share is exact), then by value. If the first common token of two
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +51,8 @@ MINIMA, ALIKE = 2, 1.3
 COUNTERS, BLOCKS = 1 << 22, 64
 #: Members of a block of a group.
 BLOCK = 8
+#: Bits of a mark for each token, at least.
+MARK_BITS = 2
 #: Characters of the texts that are hashed together.
 SOME_CHARS = 1 << 20
 KEPT_WORDS = 50_000
@@ -181,14 +185,65 @@ def _levels(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _tokens(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, tokens) of the wanted classes, each once."""
+def _tokens(sets: DataFrame, wanted: DataFrame, of: Callable[[DataFrame], DataFrame] = lambda some: some) -> DataFrame:
+    """(node, n, tokens) of the wanted classes, each once; or what of, row by row, makes of these."""
     some = sets.where("tokens is not null and node is not null").select("node", "n", "tokens")
     # the sieve keeps the join from shuffling the whole table; a semi-join would be moved below it
-    some = sieved(some, "node", wanted, "node")
+    some = of(sieved(some, "node", wanted, "node"))
     return some.join(near(wanted.select(F.col("node").alias("want"))), F.col("node") == F.col("want")).drop("want").dropDuplicates(["node"])
 
 
+def mark(tokens: np.ndarray) -> bytes:
+    """A bitmap of the tokens modulo its length, a power of two."""
+    size = 1 << (max(MARK_BITS * len(tokens), 64) - 1).bit_length()
+    bits = np.zeros(size, bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(data: bytes, size: int) -> int:
+    """The mark that data would be with size bytes, its own or fewer."""
+    n, bits = len(data), int.from_bytes(data, "little")
+    while n > size:
+        n //= 2
+        bits = (bits & ((1 << 8 * n) - 1)) | (bits >> 8 * n)
+    return bits
+
+
+def may_link(n: int, a: bytes, m: int, b: bytes, percent: int = PERCENT) -> bool:
+    """Whether sets of n and m tokens may be similar, by their marks; never false if they are."""
+    size = min(len(a), len(b))
+    x, y = _folded(a, size), _folded(b, size)
+    both = (x & y).bit_count()
+    common = min(n - (x.bit_count() - both), m - (y.bit_count() - both))
+    return 100 * common >= percent * (n + m - common)
+
+
+def _marks(some: DataFrame) -> DataFrame:
+    """(node, n, mark) for (node, n, tokens)."""
+
+    @tidy
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"], "n": b["n"], "mark": [mark(_unpacked(x)) for x in b["tokens"]]})
+
+    return some.mapInPandas(marked, "node binary, n int, mark binary")
+
+
+def _hopeful(asked: DataFrame, blocks: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The rows (a, block) of asked whose block has a member that may link with a, by the marks of both."""
+
+    @tidy
+    def hopeful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = [any(may_link(n, own, m, its, percent) for m, its in zip(sizes, marks, strict=True)) for n, own, sizes, marks in zip(b["n"], b["mark"], b["sizes"], b["marks"], strict=True)]
+            yield b.loc[keep, ["a", "block"]]
+
+    groups = marks.join(near(blocks), "node").groupBy("block").agg(F.collect_list("n").alias("sizes"), F.collect_list("mark").alias("marks"))  # about BLOCK members
+    asking = marks.select(F.col("node").alias("a"), "n", "mark").join(near(asked), "a")
+    return asking.join(groups.hint("shuffle_merge"), "block").mapInPandas(hopeful, "a binary, block string")
+
+
 def _opened(asked: DataFrame, blocks: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """(a, b) for each query a of asked (a, block) and each member b of the block that is as similar as asked."""
 
@@ -252,6 +307,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         asked = scratch.write(asked.select(F.col("node").alias("a"), "centre"), f"asked-{j}")
         wanted = scratch.write(asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("centre").alias("node"))).distinct(), f"wanted-{j}")
         tokens = scratch.write(_tokens(sets, wanted), f"tokens-{j}")
+        drop_shuffles(scratch.spark)
         blocks = asked.select(F.col("centre").alias("node"), F.hex("centre").alias("block")).distinct()
         found = scratch.write(_opened(asked.select("a", F.hex("centre").alias("block")), blocks, tokens, percent), f"links-{j}")
         linked = found if linked is None else linked.unionByName(found)
@@ -285,8 +341,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     shared = keyed.select("prefix").mapInPandas(tokens_of, "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("t"))
     shared = scratch.write(shared, "shared")
     drop_shuffles(scratch.spark)
-    some = keyed.mapInPandas(places_of, "token long, of long, place int").join(near(shared), F.col("token") == F.col("t"), "left_semi")
-    some = scratch.write(some, "places")
+    # the sieve keeps the places of all other tokens where they are
+    some = sieved(keyed.mapInPandas(places_of, "token long, of long, place int"), "token", shared, "t")
+    some = scratch.write(some.join(near(shared), F.col("token") == F.col("t")).drop("t"), "places")
+    drop_shuffles(scratch.spark)
     known = once.select("node", "n").join(grouped.select("node", F.xxhash64("group").alias("g")), "node").withColumn("key", F.xxhash64("node"))
     far = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n")
     some = scratch.write(some.join(known.hint("shuffle_merge"), F.col("of") == F.col("key")).select("token", "node", "g", "n", far.cast("int").alias("reach")), "some")
@@ -305,14 +363,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     members = inside.join(near(large), F.col("g") == F.col("the_g"), "left")
     members = scratch.write(members.select("node", "g", F.concat_ws("-", "g", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))).alias("block")), "members")
     of_group = members.select(F.col("g").alias("the_g"), "block").distinct()
-    queries = scratch.write(asked.join(of_group.hint("shuffle_merge"), F.col("its_g") == F.col("the_g")).select("a", "block"), "queries")
+    queries = scratch.write(asked.join(of_group.hint("shuffle_merge"), F.col("its_g") == F.col("the_g")).select("a", "block"), "proposed")
+    named = scratch.write(queries.select(F.col("a").alias("node")).unionByName(members.select("node")).distinct(), "named")
+    marks = scratch.write(_tokens(sets, named, _marks), "marks")
+    drop_shuffles(scratch.spark)
+    queries = scratch.write(_hopeful(queries, members.select("node", "block"), marks, percent), "queries")
+    hoped = scratch.write(queries.select(F.col("block").alias("its_block")).distinct(), "hoped")
+    members = scratch.write(members.join(near(hoped), F.col("block") == F.col("its_block")).select("node", "block"), "hopeful")
+    for name in ("members", "proposed", "named", "marks", "hoped"):
+        scratch.drop(name)
     wanted = scratch.write(queries.select(F.col("a").alias("node")).unionByName(members.select("node")).distinct(), "wanted")
+    drop_shuffles(scratch.spark)
     tokens = scratch.write(_tokens(sets, wanted), "tokens")
     for name in ("sets", "described", "asked", "shared", "inside"):
         scratch.drop(name)
     drop_shuffles(scratch.spark)
-    found = scratch.write(_opened(queries, members.select("node", "block"), tokens, percent), "links")
-    for name in ("tokens", "queries", "members"):
+    found = scratch.write(_opened(queries, members, tokens, percent), "links")
+    for name in ("tokens", "queries", "hopeful"):
         scratch.drop(name)
     drop_shuffles(scratch.spark)
 

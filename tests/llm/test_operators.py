@@ -151,6 +151,39 @@ def test_wanted_tokens_are_sieved_before_they_are_shuffled(spark, monkeypatch):
     assert common.sieved(sets, "node", wanted, "node").count() < 4000
 
 
+def test_tokens_of_sets_that_share_a_little_stay(spark, monkeypatch):
+    """Documents of common passages ask each other, but marks tell that they are not similar before any tokens move."""
+    rng = random.Random(5)
+    passages = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(40)) for _ in range(30)]
+    rows = [{"doc_id": i, "text": " ".join(passages[(i + k) % 30] for k in (0, 1, 3))} for i in range(30)]  # no two share more than one
+    seen, write = {}, common.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common.Scratch, "write", counted)
+    made = {x.doc_id: x.component_id for x in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert made == {r["doc_id"]: r["doc_id"] for r in rows}
+    assert seen["asked"] > 0
+    assert seen["tokens"] == 0
+
+
+def test_marks_leave_out_no_similar_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 31, 33, 300, 5000):
+        for _ in range(30):
+            a = rng.integers(0, 1 << 48, n).astype(np.uint64)
+            b = np.unique(np.concatenate([a[int(rng.integers(0, n // 5 + 1)) :], rng.integers(0, 1 << 48, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)]))
+            a = np.unique(a)
+            common_ = len(np.intersect1d(a, b))
+            if 100 * common_ >= 80 * (len(a) + len(b) - common_):
+                assert jaccard.may_link(len(a), jaccard.mark(a), len(b), jaccard.mark(b))
+            other = rng.integers(0, 1 << 48, n).astype(np.uint64)
+            assert n < 100 or not jaccard.may_link(len(a), jaccard.mark(a), n, jaccard.mark(other))
+
+
 def brute_jaccard(rows):
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = []
